@@ -26,6 +26,8 @@ TAG_PATTERN = r"<[^>]+>"
 SPACE_PATTERN = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 # pieces for contraction lookup: letters with apostrophes, or anything else
 PIECE_PATTERN = r"[\p{L}']+|[^\p{L}']+"
+# the same, with neighbouring pieces without an apostrophe taken together
+LONG_PIECE_PATTERN = r"(?:\p{L}++(?!')|[^\p{L}']++){1,200}|[\p{L}']+"
 # characters that NFKC may change, alone or by combining with a neighbour: all
 # but ASCII, the stable part of Latin-1 and the common quotes and dashes
 MAYBE_NOT_NFKC = (
@@ -77,25 +79,35 @@ def expand_contractions(
 ) -> Column:
     """Expand contractions; the case of the first letter is kept.
 
-    Only pieces with an apostrophe, or listed without one, are looked up.
+    Texts without an apostrophe pass through, and only words with one are looked
+    up; a text with a listed word that has none is looked up word by word.
     """
+    t = _col(text)
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    bare = [k for k in table if "'" not in k]
 
-    def one(piece: Column) -> Column:
+    def expanded(piece: Column) -> Column:
         low = F.lower(piece)
         found = F.try_element_at(lookup, low)
-        capital = F.substring(piece, 1, 1) != F.substring(low, 1, 1)
         raised = F.concat(F.upper(F.left(found, F.lit(1))), F.substr(found, F.lit(2)))
-        candidate = piece.contains("'")
-        if bare:
-            candidate = candidate | low.isin(bare)
-        return F.when(
-            candidate, F.coalesce(F.when(capital, raised).otherwise(found), piece)
-        ).otherwise(piece)
-
-    pieces = F.regexp_extract_all(_col(text), F.lit(PIECE_PATTERN), F.lit(0))
-    return F.array_join(F.transform(pieces, one), "")
+        capital = F.left(piece, F.lit(1)) != F.left(low, F.lit(1))
+        return F.coalesce(F.when(capital, raised).otherwise(found), piece)
+
+    def by_piece(pattern: str, listed: Sequence[str]) -> Column:
+        def one(piece: Column) -> Column:
+            wanted = piece.contains("'")
+            if listed:
+                wanted = wanted | F.lower(piece).isin(*listed)
+            return F.when(wanted, expanded(piece)).otherwise(piece)
+
+        pieces = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(pieces, one), "")
+
+    quick = F.when(t.contains("'"), by_piece(LONG_PIECE_PATTERN, ())).otherwise(t)
+    bare = [k for k in table if "'" not in k]
+    if not bare:
+        return quick
+    has_bare = t.rlike(r"(?i)\b(?:" + "|".join(bare) + r")\b")
+    return F.when(has_bare, by_piece(PIECE_PATTERN, bare)).otherwise(quick)
 
 
 # --------------------------------------------------------------- tokenising --

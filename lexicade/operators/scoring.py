@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexicade.functions import stats
 from lexicade.functions.text import display_label, ngram_size
+from lexicade.operators.joins import join_per_key
 from lexicade.operators.ranking import top_per_group
 from lexicade.operators.vocabulary import MAX_DF, MIN_DF, df_limits
 
@@ -155,3 +156,22 @@ def keep_discard_report(scored: DataFrame, threshold: float = 2.0, n: int = 150)
         "group", "rank", display_label("term").alias("label"), F.abs(z).alias("weight"),
         "group_total",
     )
+
+
+def kept_lists(
+    scored: DataFrame, thresholds: Sequence[float] = Z_THRESHOLDS, feature: str = "term"
+) -> DataFrame:
+    """Rows (threshold, feature), one per threshold the feature passes."""
+    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    return scored.select(at, feature, "z").where(
+        F.abs("z") > F.col("threshold")).select("threshold", feature)
+
+
+def select_columns(counts: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame | None:
+    """Counts of the kept features only, or None if fewer than two remain.
+
+    ``kept`` is a stored table with term and df.
+    """
+    if kept.limit(2).count() < 2:
+        return None
+    return join_per_key(counts, kept.select("term", "df"), "term", key, "df").drop("df")

@@ -76,7 +76,7 @@ def concept_comparison(scores: DataFrame) -> DataFrame:
     name = F.col("model")
     p = naming.parse_run_name("model")
     named = scores.where(~name.contains("Custom") & ~name.contains("baseline")).select(
-        p["model"].alias("_m"), p["k"].alias("k"), p["w"].alias("w"), p["ngram"].alias("_ng"),
+        p["model"].alias("_m"), p["k"].alias("k"), p["w"].alias("w"),
         F.col("value").alias("macro_f1"), name.alias("run"),
     ).dropna(subset=["k", "w"])
     base = scores.where(name.rlike("^(linear_svm|logreg)_k0_w0$")).select(
