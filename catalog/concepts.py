@@ -1 +1,177 @@
-"""Placeholder."""
+"""Queries over concepts and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import sql as s
+from catalog.registry import r6, register, rounded
+from lexicade.functions import lexicons as lx
+from lexicade.functions.text import tokenize, lower_tokens
+from lexicade.operators import concepts as co
+from lexicade.operators import vocabulary as vo
+from lexicade.plans import representation as rp
+from lexicade.sources.artifacts import Store
+from lexicade.sources.corpus import load_documents
+
+K = 200
+
+
+# ---------------------------------------------------------------- polarity ----
+def _polarity_sql() -> str:
+    values = ", ".join(f"({s.q(t)}, {v}::DOUBLE)" for t, v in lx.VALENCES.items())
+    return f"""WITH lows AS (
+      SELECT doc_id, {s.lower(s.tokens('text'))} AS t FROM documents),
+    units AS MATERIALIZED (SELECT DISTINCT term FROM (
+      SELECT unnest({s.grams('CASE WHEN len(t) = 0 THEN [' + s.q('') + '] ELSE t END')}) AS term
+      FROM lows)),
+    lexicon(token, valence) AS (VALUES {values}),
+    parts AS (SELECT term, w, i, w[i] AS token FROM (
+      SELECT term, w, unnest(range(1, len(w) + 1)) AS i FROM (
+        SELECT term, string_split(lower(term), ' ') AS w FROM units))),
+    sums AS (SELECT term, sum(valence * CASE WHEN len(list_filter(
+        list_slice(w, greatest(i - {lx.NEGATION_REACH}, 1), i - 1),
+        lambda x: x IN {s.in_list(lx.NEGATORS)})) > 0
+        THEN {lx.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END) AS total
+      FROM parts JOIN lexicon USING (token) GROUP BY term)
+    SELECT term, {s.r6(f'coalesce(total / sqrt(total * total + {lx.POLARITY_ALPHA}::DOUBLE), 0)')}
+      AS score FROM units LEFT JOIN sums USING (term)"""
+
+
+@register("lexicon_polarity", _polarity_sql())
+def lexicon_polarity(spark, folder):
+    tokens = lower_tokens(tokenize("text"))
+    units = vo.term_counts(load_documents(spark, folder), tokens).select("term").distinct()
+    return rounded(co.polarity(units, co.valence_table(spark)), "score")
+
+
+# -------------------------------------------------------------- embeddings ----
+def _vectors(spark, folder):
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+@register("augment_embedding", f"""WITH e AS (SELECT vec_id,
+    list_concat(embedding::DOUBLE[], [10.0::DOUBLE * ((label - 4.5::DOUBLE) / 4.5::DOUBLE)]) AS v
+  FROM embeddings),
+  n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS len FROM e)
+  SELECT vec_id, unnest(range(0, len(v)))::INT AS pos, {s.r6('unnest(v) / len')} AS x FROM n""")
+def augment_embedding(spark, folder):
+    score = (F.col("label") - F.lit(4.5)) / F.lit(4.5)
+    rows = _vectors(spark, folder).select(
+        "vec_id", F.posexplode(co.augment("embedding", score, 10.0)).alias("pos", "x"))
+    return rounded(rows, "x")
+
+
+_NEAREST = """WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS x,
+    unnest(range(len(embedding))) AS pos FROM embeddings),
+  means AS (SELECT label, pos, avg(x) AS m FROM parts GROUP BY label, pos),
+  centroids AS (SELECT label AS concept_id, list(m ORDER BY pos) AS c FROM means GROUP BY label),
+  pairs AS (SELECT vec_id, concept_id, list_sum(list_transform(list_zip(embedding, c),
+      lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))) AS dist
+    FROM embeddings, centroids)
+  SELECT vec_id, concept_id::BIGINT AS concept_id, round(dist, 6) + 0.0 AS dist FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, concept_id) = 1"""
+
+
+@register("nearest_centroid", _NEAREST)
+def nearest_centroid(spark, folder):
+    points = _vectors(spark, folder)
+    parts = points.select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    # one mean vector per label
+    centroids = means.groupBy(F.col("label").alias("concept_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"])
+        .alias("centroid"))
+    return rounded(
+        co.nearest_centroid(points.select("vec_id", "embedding"), centroids), "dist"
+    ).select("vec_id", "concept_id", "dist")
+
+
+# ------------------------------------------------- concepts of hashed units ----
+def _mapped(spark, folder):
+    """Units of the training vocabulary, put into K concepts by a hash."""
+    src, store = rp.Source(folder), Store(spark)
+    bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(K))
+    units = store.table(
+        lambda: rp.unit_features(spark, src, store).select(
+            "term", "df", bucket.cast("int").alias("concept_id")), "map", k=K, **src.key())
+    return src, store, units
+
+
+_MAP = f"""units AS MATERIALIZED (SELECT term,
+  (('0x' || substr(md5(term), 1, 8))::UBIGINT % {K})::INT AS concept_id FROM feats)"""
+_CONCEPTS = """concepts AS MATERIALIZED (SELECT doc_id, label, split, concept_id,
+  sum(cnt)::BIGINT AS cnt FROM cnts JOIN units USING (term) GROUP BY ALL)"""
+_CZ = f"""ccounts AS MATERIALIZED (SELECT i::INT AS concept_id,
+    coalesce(sum(cnt) FILTER (WHERE label = 1), 0)::BIGINT AS c_pos,
+    coalesce(sum(cnt) FILTER (WHERE label <> 1), 0)::BIGINT AS c_neg
+  FROM range({K}) t(i) LEFT JOIN
+    (SELECT * FROM concepts WHERE split = 'train') c ON c.concept_id = i GROUP BY i)"""
+
+
+def _concept_counts(spark, src, store, units):
+    matrix = rp.unit_matrix(spark, src, store).drop("df")
+    return co.concept_counts(matrix, units, ("doc_id", "label", "split"))
+
+
+def _concept_scores(spark, src, store, units):
+    counts = _concept_counts(spark, src, store, units).where("split = 'train'")
+    return store.table(
+        lambda: rounded(rp.concept_features(counts, K), "logodds", "z"), "scores", k=K)
+
+
+@register("concept_counts", s.with_(*s.features(), _MAP, _CONCEPTS) + "SELECT * FROM concepts")
+def concept_counts(spark, folder):
+    return _concept_counts(spark, *_mapped(spark, folder))
+
+
+@register("concept_zscores", s.with_(
+    *s.features(), _MAP, _CONCEPTS, _CZ, s.scored("ccounts", "cz")) + f"""
+  SELECT concept_id, c_pos, c_neg, {s.r6('logodds')} AS logodds, {s.r6('z')} AS z FROM cz""")
+def concept_zscores(spark, folder):
+    return _concept_scores(spark, *_mapped(spark, folder))
+
+
+@register("concept_members", s.with_(*s.features(), _MAP) + """SELECT concept_id, term,
+    replace(term, ' ', '_') AS label,
+    replace(min(term) OVER (PARTITION BY concept_id), ' ', '_') AS representative,
+    count(*) OVER (PARTITION BY concept_id) AS size FROM units""")
+def concept_members(spark, folder):
+    return co.concept_members(_mapped(spark, folder)[2])
+
+
+@register("concept_unit_freq", s.with_(*s.features(), _MAP) + """SELECT concept_id,
+    replace(term, ' ', '_') AS unit, sum(cnt)::BIGINT AS freq
+  FROM cnts JOIN units USING (term) WHERE split = 'train' GROUP BY concept_id, term""")
+def concept_unit_freq(spark, folder):
+    src, store, units = _mapped(spark, folder)
+    train = rp.unit_matrix(spark, src, store).where("split = 'train'")
+    return co.concept_unit_frequencies(train, units)
+
+
+@register("top_concepts", s.with_(
+    *s.features(), _MAP, _CONCEPTS, _CZ, s.scored("ccounts", "cz"), """
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY "class" ORDER BY z DESC, concept_id) AS rank
+    FROM (SELECT 'Positive' AS "class", concept_id, round(z, 6) + 0.0 AS z FROM cz UNION ALL
+          SELECT 'Negative', concept_id, -round(z, 6) + 0.0 FROM cz))""") + """
+  SELECT "class", rank, concept_id, replace(min(term) OVER (PARTITION BY "class", concept_id),
+    ' ', '_') AS representative, replace(term, ' ', '_') AS label, z
+  FROM ranked JOIN units USING (concept_id) WHERE rank <= 5""")
+def top_concepts(spark, folder):
+    src, store, units = _mapped(spark, folder)
+    scored = _concept_scores(spark, src, store, units)
+    return rounded(co.top_concepts(scored, co.concept_members(units), 5), "z")
+
+
+# ---------------------------------------------------- word vectors, k-means ----
+@register("unit_embeddings")
+def unit_embeddings(spark, folder):
+    src, store = rp.Source(folder), Store(spark)
+    return rp.unit_vectors(spark, src, store)
+
+
+@register("concept_kmeans")
+def concept_kmeans(spark, folder):
+    src, store = rp.Source(folder), Store(spark)
+    mapped, _ = rp.concept_map(spark, src, store, k=50, w=10.0)
+    return mapped.select("term", "df", "concept_id")

@@ -1 +1,110 @@
-"""Placeholder."""
+"""Queries that train and apply models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.registry import register
+from lexicade.functions.text import clean_text
+from lexicade.operators import models as mo
+from lexicade.operators.evaluate import model_metrics
+from lexicade.plans import experiments as ex
+from lexicade.plans import representation as rp
+from lexicade.plans.corpus import split_corpus
+from lexicade.sources.artifacts import Store, load_model, save_model
+
+HARD = 0.05
+
+
+def _vectors(spark, folder, weighting="tfidf", z=2.0):
+    rep = rp.load_representation(spark, rp.Source(folder), Store(spark), z=z)
+    return rp.vectors(rep, weighting).persist()
+
+
+def _fit_and_score(spark, folder, kind):
+    data = _vectors(spark, folder)
+    model = mo.fit_model(kind, data.where("split = 'train'"))
+    return mo.predict(model, data.where("split = 'val'"), kind)
+
+
+@register("svm_calibrated")
+def svm_calibrated(spark, folder):
+    return _fit_and_score(spark, folder, "linear_svm")
+
+
+@register("logreg")
+def logreg(spark, folder):
+    return _fit_and_score(spark, folder, "logreg")
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, folder):
+    """Largest difference between a model's predictions and its stored copy's."""
+    data = _vectors(spark, folder)
+    model = mo.fit_model("logreg", data.where("split = 'train'"))
+    path = Store(spark).path("model", folder=folder)
+    save_model(model, path)
+    held = data.where("split = 'test'")
+    before = mo.predict(model, held, "before").select("doc_id", F.col("probability").alias("p"))
+    after = mo.predict(load_model(path), held, "after")
+    return after.join(before, "doc_id").agg(
+        F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("probability"))).alias("gap"))
+
+
+@register("specialist_svm")
+def specialist_svm(spark, folder):
+    return mo.train_specialist(_vectors(spark, folder), HARD)["specialist_predictions"]
+
+
+def make_scorer():
+    """A model from outside: share of capital letters among letters, squashed."""
+    import numpy as np
+
+    def score(texts):
+        out = [
+            sum(c.isupper() for c in t) / max(1, sum(c.isalpha() for c in t))
+            for t in map(str, texts)
+        ]
+        return 1.0 / (1.0 + np.exp(-20.0 * (np.array(out, dtype=np.float64) - 0.03)))
+
+    return score
+
+
+@register("external_specialist")
+def external_specialist(spark, folder):
+    docs = split_corpus(spark, folder, Store(spark)).withColumn("text_clean", clean_text("text"))
+    return mo.score_text(docs, make_scorer, "external")
+
+
+def _series(spark, folder, specs):
+    preds, failed = ex.run_experiments(spark, specs, Store(spark))
+    if preds is None:
+        raise RuntimeError(f"no run succeeded: {failed}")
+    return model_metrics(preds, ["experiment", "model", "elapsed_s"])
+
+
+@register("exp_basic")
+def exp_basic(spark, folder):
+    return _series(spark, folder, ex.basic_specs(rp.Source(folder), cases=("lower",)))
+
+
+@register("exp_tokens")
+def exp_tokens(spark, folder):
+    return _series(spark, folder, ex.token_specs(rp.Source(folder), models=("logreg",)))
+
+
+@register("exp_pruning")
+def exp_pruning(spark, folder):
+    return _series(spark, folder, ex.pruning_specs(
+        rp.Source(folder), columns=("tokens_lower",), thresholds=(0, 2), models=("logreg",)))
+
+
+@register("exp_ngrams")
+def exp_ngrams(spark, folder):
+    return _series(spark, folder, ex.ngram_specs(rp.Source(folder), models=("logreg",)))
+
+
+@register("exp_grid")
+def exp_grid(spark, folder):
+    return _series(spark, folder, ex.grid_specs(
+        rp.Source(folder), models=("logreg",), n_concepts=(0, 50), weights=(0.0, 10.0)))

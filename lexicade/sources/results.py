@@ -25,6 +25,7 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     """``path/experiment=.../model=.../*.csv`` with true_label, probability, doc_id."""
     (
         predictions.select("experiment", "model", "true_label", "probability", "doc_id")
+        .hint("rebalance", "experiment", "model")  # few files per model, large models split
         .write.mode("overwrite").partitionBy("experiment", "model")
         .option("header", True).csv(path)
     )
@@ -69,6 +70,7 @@ def write_reports(reports: DataFrame, path: str) -> None:
     (
         reports.withColumnRenamed("f1_score", "f1-score")
         .select("experiment", "model", "class", "precision", "recall", "f1-score", "support")
+        .hint("rebalance", "experiment", "model")
         .write.mode("overwrite").partitionBy("experiment", "model")
         .option("header", True).csv(path)
     )
