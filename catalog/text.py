@@ -55,9 +55,8 @@ def text_clean(spark, folder):
 @register("text_expand",
           s.with_(s.NOISY) + f"SELECT doc_id, {s.expand(s.clean('text'))} AS text FROM noisy")
 def text_expand(spark, folder):
-    cleaned = tx.clean_text("text")
-    return noisy_documents(spark, folder).select(
-        "doc_id", tx.expand_contractions(cleaned).alias("text"))
+    cleaned = noisy_documents(spark, folder).withColumn("clean", tx.clean_text("text"))
+    return cleaned.select("doc_id", tx.expand_contractions("clean").alias("text"))
 
 
 _CASED = f"cased AS (SELECT doc_id, {s.tokens(s.expand(s.clean('text')))} AS c FROM noisy)"

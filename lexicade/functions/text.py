@@ -46,10 +46,15 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def maybe_not_nfkc(text: Column | str) -> Column:
+    """False if NFKC surely leaves the text as it is."""
+    return _col(text).rlike(MAYBE_NOT_NFKC)
+
+
 def nfkc(text: Column | str) -> Column:
-    """Unicode NFKC. Only rows that can change are sent to Python."""
+    """Unicode NFKC. Only texts that can change are sent to Python."""
     t = _col(text)
-    return F.coalesce(_nfkc(F.when(t.rlike(MAYBE_NOT_NFKC), t)), t)
+    return F.coalesce(_nfkc(F.when(maybe_not_nfkc(t), t)), t)
 
 
 def decode_utf8(raw: Column | str) -> Column:
@@ -70,8 +75,13 @@ def collapse_spaces(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), SPACE_PATTERN, " "))
 
 
+def clean_normalized(text: Column | str) -> Column:
+    """Cleaning of a text that is in NFKC already."""
+    return collapse_spaces(strip_tags(unify_typography(text)))
+
+
 def clean_text(text: Column | str) -> Column:
-    return collapse_spaces(strip_tags(unify_typography(nfkc(text))))
+    return clean_normalized(nfkc(text))
 
 
 def expand_contractions(
@@ -80,7 +90,8 @@ def expand_contractions(
     """Expand contractions; the case of the first letter is kept.
 
     Texts without an apostrophe pass through, and only words with one are looked
-    up; a text with a listed word that has none is looked up word by word.
+    up; a text with a listed word that has none is looked up word by word. ``text``
+    is used several times, so it should be a column of its own.
     """
     t = _col(text)
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -162,7 +173,10 @@ def word_tokens(text: Column | str, lowercase: bool = True) -> Column:
 
 
 def ngrams(tokens: Column | str, n_range: tuple[int, int] = (1, 3)) -> Column:
-    """All 1-grams, then all 2-grams, ... as space-joined strings."""
+    """All 1-grams, then all 2-grams, ... as space-joined strings.
+
+    ``tokens`` is used once per n-gram, so it should be a column of its own.
+    """
     t = _col(tokens)
     none = F.array().cast("array<string>")
 

@@ -62,8 +62,10 @@ def z_scores(
     """
     totals = class_totals(per_feature, by)
     if not by:
-        t = totals.select(F.struct("n_pos", "n_neg", "size")).scalar()
-        return _scored(per_feature, t["n_pos"], t["n_neg"], t["size"], alpha)
+        once = totals.select(F.struct("n_pos", "n_neg", "size")).scalar()
+        t = F.col("_t")
+        with_totals = per_feature.withColumn("_t", once)
+        return _scored(with_totals, t["n_pos"], t["n_neg"], t["size"], alpha).drop("_t")
     # one row per group (token column or n-gram range)
     joined = per_feature.join(F.broadcast(totals), list(by))
     scored = _scored(joined, F.col("n_pos"), F.col("n_neg"), F.col("size"), alpha)

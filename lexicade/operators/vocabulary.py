@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicade.functions.text import ngrams
-from lexicade.operators.joins import join_per_key
+from lexicade.operators.joins import BROADCAST_ROWS, join_per_key
 from lexicade.operators.ranking import sorted_index
 
 MIN_DF = 10
@@ -34,10 +34,38 @@ def term_counts(
     If ``docs`` is partitioned by the key (as after the corpus join), the counts
     need no further shuffle.
     """
-    grams = docs.select(*keep, F.explode(ngrams(units(tokens), n_range)).alias("term"))
+    grams = _terms(docs, tokens, n_range, keep)
     return grams.groupBy(*keep, "term").agg(F.count("*").alias("cnt"))
 
 
+def _terms(docs: DataFrame, tokens: Column | str, n_range: tuple[int, int],
+           keep: Sequence[str]) -> DataFrame:
+    listed = docs.select(*keep, units(tokens).alias("_t"))
+    return listed.select(*keep, F.explode(ngrams("_t", n_range)).alias("term"))
+
+
+def known_term_counts(
+    docs: DataFrame,
+    vocab: DataFrame,
+    tokens: Column | str = "tokens",
+    n_range: tuple[int, int] = (1, 3),
+    keep: Sequence[str] = ("doc_id",),
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows (keep..., term, df, cnt) for the terms of a stored (term, df) table.
+
+    A vocabulary small enough to broadcast filters the terms before they are
+    counted; a larger one is joined with the counts.
+    """
+    if vocab.limit(broadcast_rows + 1).count() > broadcast_rows:
+        counts = term_counts(docs, tokens, n_range, keep)
+        return apply_vocabulary(counts, vocab.select("term", "df"), keep[0]).select(
+            *keep, "term", "df", "cnt")
+    known = F.broadcast(vocab.select("term", "df"))
+    found = _terms(docs, tokens, n_range, keep).join(known, "term")
+    return found.groupBy(*keep, "term", "df").agg(F.count("*").alias("cnt"))
+
+
 def document_count(docs: DataFrame) -> Column:
     """Number of rows as a scalar subquery."""
     return docs.agg(F.count("*")).scalar()

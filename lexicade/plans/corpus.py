@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.functions import text as tx
@@ -15,40 +15,50 @@ from lexicade.sources.corpus import load_corpus, load_documents
 def split_assignments(
     spark: SparkSession, folder: str, store: Store, label: str = "quality", seed: str = SEED
 ) -> DataFrame:
-    """Stored table (doc_id, label, split) of the first row of every distinct text.
+    """Stored table (doc_id, label, odd, split) of the first row of every distinct text.
 
     It is narrow, so that document counts and splits never touch the texts again.
+    ``odd`` marks texts that NFKC may change.
     """
-    kept = store.table(
-        lambda: drop_duplicate_texts(load_corpus(spark, folder, label)).select("doc_id", "label"),
-        "kept", folder=folder, label=label,
-    )
+    def build() -> DataFrame:
+        docs = load_corpus(spark, folder, label, {"odd": tx.maybe_not_nfkc("text")})
+        kept = drop_duplicate_texts(docs).select("doc_id", "label", "odd")
+        return stratified_split(kept, seed=seed)
+
     return store.table(
-        lambda: stratified_split(kept, seed=seed),
-        "splits", folder=folder, label=label, seed=seed, ends=SPLIT_ENDS,
-    )
+        build, "splits", folder=folder, label=label, seed=seed, ends=SPLIT_ENDS)
 
 
 def split_corpus(
     spark: SparkSession, folder: str, store: Store, label: str = "quality",
     split: str | None = None,
 ) -> DataFrame:
-    """Rows (doc_id, text, label, split), partitioned by document."""
+    """Rows (doc_id, text, text_nfkc, label, split), partitioned by document.
+
+    Python only sees the texts that NFKC may change: they are normalised apart and
+    joined back, which leaves the rest of the plan in the JVM and its partitioning
+    by document intact.
+    """
     chosen = split_assignments(spark, folder, store, label)
     if split is not None:
         chosen = chosen.where(F.col("split") == split)
-    docs = load_documents(spark, folder).select("doc_id", "text")
-    return docs.join(chosen.hint("shuffle_hash"), "doc_id")
-
-
-def expanded_text(text: Column | str = "text") -> Column:
-    return tx.expand_contractions(tx.clean_text(text))
+    texts = load_documents(spark, folder).select("doc_id", "text")
+    docs = texts.join(
+        chosen.select("doc_id", "label", "split").hint("shuffle_hash"), "doc_id")
+    odd = chosen.where("odd").select("doc_id")
+    if odd.isEmpty():
+        return docs.withColumn("text_nfkc", F.col("text"))
+    normal = texts.join(odd.hint("shuffle_hash"), "doc_id", "left_semi").select(
+        "doc_id", tx.nfkc("text").alias("_nfkc"))
+    return docs.join(normal.hint("shuffle_hash"), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("_nfkc", "text").alias("text_nfkc"), "label", "split")
 
 
 def native_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the text columns and the token columns that need no lookup table."""
+    normal = F.col(f"{text}_nfkc") if f"{text}_nfkc" in docs.columns else tx.nfkc(text)
     out = (
-        docs.withColumn("text_clean", tx.clean_text(text))
+        docs.withColumn("text_clean", tx.clean_normalized(normal))
         .withColumn("text_expanded", tx.expand_contractions("text_clean"))
         .withColumn("tokens_cased", tx.tokenize("text_expanded"))
         .withColumn("tokens_lower", tx.lower_tokens("tokens_cased"))
@@ -77,7 +87,7 @@ def all_tokens(
     return (
         base.withColumn("tokens_stemmed", tx.stem_tokens("tokens_lower"))
         .join(lemmatized.hint("shuffle_hash"), key)
-        .withColumnRenamed(text, "text_raw")
+        .withColumnRenamed(text, "text_raw").drop(f"{text}_nfkc")
     )
 
 
@@ -86,22 +96,11 @@ def token_documents(
     label: str = "quality", split: str | None = None,
 ) -> DataFrame:
     """Rows (doc_id, label, split, tokens) with only the chosen token column derived."""
-    docs = split_corpus(spark, folder, store, label, split)
+    docs = native_tokens(split_corpus(spark, folder, store, label, split))
     if token_col == "tokens_lemmatized":
-        everything = split_corpus(spark, folder, store, label)
-        lower = everything.select(tx.lower_tokens(tx.tokenize(expanded_text())).alias("t"))
+        everything = native_tokens(split_corpus(spark, folder, store, label))
         lemmas = store.table(
-            lambda: lemma_table(lower, "t"), "lemmas", folder=folder, label=label)
-        cased = docs.select("doc_id", "label", "split",
-                            tx.lower_tokens(tx.tokenize(expanded_text())).alias("t"))
-        return lemmatize(cased, lemmas, "t", "doc_id", "tokens", ("label", "split"))
-    cased = tx.tokenize(expanded_text())
-    lower = tx.lower_tokens(cased)
-    tokens = {
-        "tokens_cased": cased,
-        "tokens_lower": lower,
-        "tokens_filtered": tx.content_tokens(lower),
-        "tokens_letters": tx.letter_tokens(lower),
-        "tokens_stemmed": tx.stem_tokens(lower),
-    }[token_col]
+            lambda: lemma_table(everything, "tokens_lower"), "lemmas", folder=folder, label=label)
+        return lemmatize(docs, lemmas, name="tokens", keep=("label", "split"))
+    tokens = F.col(token_col) if token_col != "tokens_stemmed" else tx.stem_tokens("tokens_lower")
     return docs.select("doc_id", "label", "split", tokens.alias("tokens"))

@@ -14,9 +14,13 @@ from lexicade.operators.joins import join_per_key
 from lexicade.operators.models import feature_vectors
 from lexicade.operators.ranking import sorted_index
 from lexicade.operators.scoring import class_counts, keep_features, z_scores
-from lexicade.operators.vocabulary import MAX_DF, MIN_DF, term_counts
+from lexicade.operators.vocabulary import (
+    MAX_DF, MIN_DF, known_term_counts, term_counts,
+)
 from lexicade.operators.weighting import inverse_frequency, tfidf
-from lexicade.plans.corpus import split_assignments, split_corpus, token_documents
+from lexicade.plans.corpus import (
+    native_tokens, split_assignments, split_corpus, token_documents,
+)
 from lexicade.sources.artifacts import Store
 
 
@@ -55,11 +59,8 @@ def source_documents(spark: SparkSession, src: Source, store: Store,
     if not src.token_col.startswith("words:"):
         return token_documents(spark, src.folder, store, src.token_col, src.label, split)
     _, column, case = src.token_col.split(":")
-    docs = split_corpus(spark, src.folder, store, src.label, split)
-    text = tx.clean_text("text")
-    if column == "text_expanded":
-        text = tx.expand_contractions(text)
-    words = tx.word_tokens(text, lowercase=case == "lower")
+    docs = native_tokens(split_corpus(spark, src.folder, store, src.label, split))
+    words = tx.word_tokens(column, lowercase=case == "lower")
     # unlike a token column, a text without words has no unit at all
     present = F.when(F.size(words) > 0, words)
     return docs.select("doc_id", "label", "split", present.alias("tokens"))
@@ -79,10 +80,7 @@ def unit_features(spark: SparkSession, src: Source, store: Store) -> DataFrame:
         n_train = F.lit(train_size(spark, src, store))
         train = source_documents(spark, src, store, "train")
         counts = term_counts(train, "tokens", src.n_range, ("doc_id", "label"))
-        kept = store.table(
-            lambda: class_counts(counts, n_train, src.min_df, src.max_df),
-            "class_counts", **src.key())
-        return z_scores(kept)
+        return z_scores(class_counts(counts, n_train, src.min_df, src.max_df))
 
     return store.table(build, "unit_features", **src.key())
 
@@ -92,8 +90,8 @@ def unit_matrix(spark: SparkSession, src: Source, store: Store) -> DataFrame:
     def build() -> DataFrame:
         vocab = unit_features(spark, src, store).select("term", "df")
         docs = source_documents(spark, src, store)
-        counts = term_counts(docs, "tokens", src.n_range, ("doc_id", "label", "split"))
-        return join_per_key(counts, vocab, "term", "doc_id", "df")
+        return known_term_counts(
+            docs, vocab, "tokens", src.n_range, ("doc_id", "label", "split"))
 
     return store.table(build, "unit_matrix", **src.key())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,20 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_DOCUMENTS).parquet(f"{folder}/documents.parquet")
 
 
-def load_corpus(spark: SparkSession, folder: str, label: str = "quality") -> DataFrame:
-    """Rows (doc_id, text, label), partitioned by document.
+def load_corpus(
+    spark: SparkSession, folder: str, label: str = "quality",
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Rows (doc_id, text, label) and ``extra`` columns, partitioned by document.
+
+    Extra columns are computed before the join, so that a text only they read
+    does not have to move.
 
     The shuffled join is asked for on purpose: everything downstream groups by
     document and can reuse its partitioning.
     """
-    docs = load_documents(spark, folder).select("doc_id", "text")
+    more = [c.alias(name) for name, c in (extra or {}).items()]
+    docs = load_documents(spark, folder).select("doc_id", "text", *more)
     labels = spark.read.schema(_LABELS).parquet(f"{folder}/labels.parquet")
     wanted = labels.select("doc_id", F.col(label).alias("label"))
     return docs.join(wanted.hint("shuffle_hash"), "doc_id")
