@@ -42,7 +42,7 @@ class Store:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
-    def path(self, kind: str, **params: object) -> str:
+    def path(self, kind: str, /, **params: object) -> str:
         text = json.dumps(params, sort_keys=True, default=str)
         return f"{self.folder}/{kind}/{hashlib.sha256(text.encode()).hexdigest()[:24]}"
 
@@ -50,7 +50,7 @@ class Store:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
-    def table(self, build: Callable[[], DataFrame], kind: str, **params: object) -> DataFrame:
+    def table(self, build: Callable[[], DataFrame], kind: str, /, **params: object) -> DataFrame:
         """Read the table, after building and writing it if it is missing."""
         path = self.path(kind, **params)
         if self.exists(path):
