@@ -12,7 +12,7 @@ from lexicade.functions.naming import parse_with_defaults
 from lexicade.operators.lemmas import lemma_table, lemmatize
 from lexicade.plans.corpus import native_tokens
 from lexicade.sources.artifacts import Store
-from lexicade.sources.corpus import load_documents
+from lexicade.sources.corpus import load_documents, spread_small
 
 COMPATIBLE, COMPOSED = " ﬁne ½ Ａé", " fine 1⁄2 Aé"
 SPACED = "    \t end 　"
@@ -33,8 +33,8 @@ def text_typography(spark, folder):
 
 @register("text_strip_tags", f"SELECT page_id, {s.strip_tags('html')} AS text FROM pages")
 def text_strip_tags(spark, folder):
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
-    return pages.select("page_id", tx.strip_tags("html").alias("text"))
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html")
+    return spread_small(pages, "page_id").select("page_id", tx.strip_tags("html").alias("text"))
 
 
 _SPACED = " || ".join(f"chr({ord(c)})" for c in SPACED)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,12 +70,14 @@ def unit_length(v: Column) -> Column:
 
 def embed_words(
     docs: DataFrame, units: DataFrame, tokens: str = "tokens", unit: str = "term",
-    size: int = 64, seed: int = SEED, partitions: int = 1, max_iter: int = 1,
+    size: int = 64, seed: int = SEED, partitions: int | None = None, max_iter: int = 1,
 ) -> DataFrame:
     """Rows (unit, embedding): mean word vector of the unit, at unit length.
 
-    Word vectors are trained on ``docs``; units without a known word get none.
+    Word vectors are trained on ``docs``, by default in as many partitions as there
+    are cores; units without a known word get none.
     """
+    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
         vectorSize=size, minCount=5, seed=seed, numPartitions=partitions, maxIter=max_iter,
         inputCol=tokens, outputCol="_mean", windowSize=5,

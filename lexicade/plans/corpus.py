@@ -20,13 +20,16 @@ def split_assignments(
     It is narrow, so that document counts and splits never touch the texts again.
     ``odd`` marks texts that NFKC may change.
     """
-    def build() -> DataFrame:
+    def kept() -> DataFrame:
         docs = load_corpus(spark, folder, label, {"odd": tx.maybe_not_nfkc("text")})
-        kept = drop_duplicate_texts(docs).select("doc_id", "label", "odd")
-        return stratified_split(kept, seed=seed)
+        return drop_duplicate_texts(docs).select("doc_id", "label", "odd")
+
+    def split() -> DataFrame:
+        # the split reads its input several times, so the texts must be behind it
+        return stratified_split(store.table(kept, "kept", folder=folder, label=label), seed=seed)
 
     return store.table(
-        build, "splits", folder=folder, label=label, seed=seed, ends=SPLIT_ENDS)
+        split, "splits", folder=folder, label=label, seed=seed, ends=SPLIT_ENDS)
 
 
 def split_corpus(
@@ -42,7 +45,7 @@ def split_corpus(
     chosen = split_assignments(spark, folder, store, label)
     if split is not None:
         chosen = chosen.where(F.col("split") == split)
-    texts = load_documents(spark, folder).select("doc_id", "text")
+    texts = load_documents(spark, folder)
     docs = texts.join(
         chosen.select("doc_id", "label", "split").hint("shuffle_hash"), "doc_id")
     odd = chosen.where("odd").select("doc_id")

@@ -23,8 +23,21 @@ _DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long
 _LABELS = "doc_id long, quality int, toxic int"
 
 
-def load_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(_DOCUMENTS).parquet(f"{folder}/documents.parquet")
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    A scan with fewer splits than cores would leave most of them idle during the
+    text functions. A large input has far more splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def load_documents(
+    spark: SparkSession, folder: str, columns: Sequence[str] = ("doc_id", "text")
+) -> DataFrame:
+    docs = spark.read.schema(_DOCUMENTS).parquet(f"{folder}/documents.parquet")
+    return spread_small(docs.select(*columns), "doc_id")
 
 
 def load_corpus(
@@ -40,7 +53,7 @@ def load_corpus(
     document and can reuse its partitioning.
     """
     more = [c.alias(name) for name, c in (extra or {}).items()]
-    docs = load_documents(spark, folder).select("doc_id", "text", *more)
+    docs = load_documents(spark, folder).select("*", *more)
     labels = spark.read.schema(_LABELS).parquet(f"{folder}/labels.parquet")
     wanted = labels.select("doc_id", F.col(label).alias("label"))
     return docs.join(wanted.hint("shuffle_hash"), "doc_id")
