@@ -322,7 +322,8 @@ def cascade_sweep(spark, folder):
     WHERE contains(lower(model), 'svm') GROUP BY model
     ORDER BY max(round(hybrid_accuracy, 9)) DESC, model LIMIT 4)""")
 def top_models(spark, folder):
-    curve = _curve(spark, folder)[0].withColumn("hybrid_accuracy", F.round("hybrid_accuracy", 9))
+    curve = Store(spark).table(lambda: _curve(spark, folder)[0].withColumn(
+        "hybrid_accuracy", F.round("hybrid_accuracy", 9)), "curve", folder=folder)
     return rounded(ca.top_models(curve, "svm"), "certainty_threshold", *_RATES)
 
 

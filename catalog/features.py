@@ -58,8 +58,7 @@ def dedup_report(spark, folder):
 @register("split_stratified", s.with_(*s.split_corpus()) +
           "SELECT doc_id, label, split FROM split")
 def split_stratified(spark, folder):
-    kept = oc.drop_duplicate_texts(load_corpus(spark, folder)).select("doc_id", "label")
-    return oc.stratified_split(kept)
+    return split_assignments(spark, folder, Store(spark)).select("doc_id", "label", "split")
 
 
 @register("split_profile", s.with_(*s.split_corpus()) + """SELECT split, label,

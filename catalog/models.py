@@ -90,7 +90,9 @@ def exp_basic(spark, folder):
 
 @register("exp_tokens")
 def exp_tokens(spark, folder):
-    return _series(spark, folder, ex.token_specs(rp.Source(folder), models=("logreg",)))
+    return _series(spark, folder, ex.token_specs(
+        rp.Source(folder), models=("logreg",),
+        columns=("tokens_filtered", "tokens_stemmed", "tokens_lemmatized")))
 
 
 @register("exp_pruning")

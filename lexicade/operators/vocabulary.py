@@ -115,12 +115,12 @@ def stop_units(
     n = docs.agg(
         F.struct(F.count_if(one).alias("pos"), F.count_if(~one).alias("neg"))
     ).scalar()
-    shares = label_frequencies(counts, label).select(
+    shares = label_frequencies(counts, label).withColumn("_docs", n).select(
         "term",
         "df_pos",
         "df_neg",
-        F.try_divide("df_pos", n["pos"]).alias("share_pos"),
-        F.try_divide("df_neg", n["neg"]).alias("share_neg"),
+        F.try_divide("df_pos", F.col("_docs.pos")).alias("share_pos"),
+        F.try_divide("df_neg", F.col("_docs.neg")).alias("share_neg"),
     )
     return shares.where((F.col("share_pos") > share) & (F.col("share_neg") > share))
 
