@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicade.llm import dartminhash
+from lexicade.llm import dartminhash, decontaminate
 from lexicade.llm.stage import Stage, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,29 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
 
+    return add
 
-@_query
+
+@_query()
 def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     found = dartminhash.near_duplicates(documents(spark, folder), Stage(spark))
     return found.select("doc_id", "class_id", F.col("n_class").cast("long").alias("n_class"), "keep")
+
+
+@_query(decontaminate.ORACLE)
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontaminate.contamination(
+        documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), Stage(spark))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
