@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicade.llm import dartminhash, decontaminate
+from lexicade.llm import dartminhash, decontaminate, toxicity
 from lexicade.llm.stage import Stage, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,15 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fifth."""
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, toxicity.training_labels(labels))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
