@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicade.llm import dartminhash, decontaminate, toxicity
+from lexicade.llm import dartminhash, decontaminate, pii, toxicity
 from lexicade.llm.stage import Stage, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query()
+def op1_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.extract(documents(spark, folder), Stage(spark), ["doc_id"])
+    return found.select(
+        "doc.doc_id", *[pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
