@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicade.llm import dartminhash, decontaminate, pii, toxicity
+from lexicade.llm import dartminhash, decontaminate, packing, pii, planes, toxicity
 from lexicade.llm.stage import Stage, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,23 @@ def op1_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; every worker has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query()
+def op2_shuffled_planes(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, as read back from the written planes."""
+    file = planes.write(documents(spark, folder), Stage(spark), tokenizer_file("word_bpe_49k.json"))
+    return planes.read(file)
+
+
+@_query()
+def op9_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of at most 1024 tokens."""
+    return packing.pack(documents(spark, folder), Stage(spark), tokenizer_file("byte_bpe_50k.json"))
