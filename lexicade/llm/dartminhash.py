@@ -235,7 +235,7 @@ def near_duplicates(
         "node", F.coalesce("rep.doc_id", F.lit(-(1 << 63))).alias("i"), F.col("rep.text_hash").alias("text_hash"))
     found = (
         docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "text_hash", "text")
-        .join(wanted.select("i", "text_hash"), ["i", "text_hash"], "left_semi")
+        .join(wanted.select("i", "text_hash").hint("merge"), ["i", "text_hash"], "left_semi")
     )
     sets = stage.keep(
         found.mapInArrow(_elements(words), "node binary, elements array<long>")
