@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicade.llm import dartminhash, decontaminate, packing, pii, planes, toxicity
+from lexicade.llm import (
+    dartminhash, decontaminate, hashtree, packing, pii, planes, spans, toxicity,
+)
 from lexicade.llm.stage import Stage, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +87,19 @@ def op2_shuffled_planes(spark: SparkSession, folder: str) -> DataFrame:
 def op9_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 1024 tokens."""
     return packing.pack(documents(spark, folder), Stage(spark), tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query()
+def op5_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard of 24, in two regions of three racks of four."""
+    tree = hashtree.Tree.even(regions=2, racks=3, shards=4)
+    placed = hashtree.assign(documents(spark, folder), Stage(spark), tree)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                         "grown_shard", "region", "rack")
+
+
+@_query()
+def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the sentences of non-first repeated spans."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    return spans.without_repeats(docs, Stage(spark))
