@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.llm import (
-    dartminhash, decontaminate, hashtree, packing, pii, planes, spans, toxicity,
+    dartminhash, decontaminate, hashtree, packing, pii, planes, spans, spotsigs, toxicity,
 )
 from lexicade.llm.stage import Stage, documents
 
@@ -103,3 +103,9 @@ def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the sentences of non-first repeated spans."""
     docs = documents(spark, folder).select("doc_id", "text")
     return spans.without_repeats(docs, Stage(spark))
+
+
+@_query()
+def op6_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return spotsigs.fingerprints(documents(spark, folder))
