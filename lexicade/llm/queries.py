@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.llm import (
-    dartminhash, decontaminate, hashtree, packing, pii, planes, spans, spotsigs, toxicity,
+    ctw, dartminhash, decontaminate, hashtree, packing, pii, planes, spans, spotsigs, toxicity,
 )
 from lexicade.llm.stage import Stage, documents
 
@@ -109,3 +109,9 @@ def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
 def op6_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and of its edited text."""
     return spotsigs.fingerprints(documents(spark, folder))
+
+
+@_query()
+def op3_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learnt outside the held-out fifth."""
+    return ctw.score(documents(spark, folder), Stage(spark))
