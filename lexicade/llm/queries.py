@@ -52,7 +52,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     model = toxicity.learn(docs, toxicity.training_labels(labels))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.scores(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
         F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

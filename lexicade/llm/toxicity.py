@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,21 +210,19 @@ def learn(
     return Model(weights, exceptions, fit_curve(x, y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxicity`` from 0 to 1 instead of one of that name."""
+def scores(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with one more column: ``toxicity`` of their ``text``, from 0 to 1."""
     @F.pandas_udf("double")
-    def scored(texts):
+    def scored(texts: pd.Series) -> pd.Series:
         own = model.automaton()
         a, b, c = model.curve
         out = np.zeros(len(texts))
         for i, t in enumerate(texts):
             u, v = features(*matched(t or "", own))
             out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * u + c * v))))
-        import pandas as pd
-
         return pd.Series(out)
 
-    return docs.withColumn("toxicity", scored(F.col("text")))
+    return rows.select("*", scored(F.col("text")).alias("toxicity"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
