@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import sql as s
 from catalog.inputs import BASE, BASELINE, SPECIALIST, THRESHOLD, predictions
 from catalog.registry import r6, register, rounded
+from lexicade.functions import naming
 from lexicade.operators import cascade as ca
 from lexicade.operators import evaluate as ev
 from lexicade.plans import tables
@@ -140,16 +141,27 @@ def mcnemar(spark, folder):
     return rounded(tests, "acc_model", "acc_baseline", "chi2", "p_value")
 
 
-@register("test_report", s.with_(*s.predictions(*TOKEN_RUNS), _PAIRS) + f"""SELECT model,
-    {s.q(BASELINE)} AS baseline, {s.r6('p_value')} AS p_value FROM valued""")
+@register("test_report", s.with_(*s.predictions(*TOKEN_RUNS), _PAIRS) + f"""
+  SELECT experiment, regexp_extract(model, '^((?:text|tokens)_[a-z]+)', 1) AS text,
+    CASE WHEN contains(model, '_CustomTfidf_') THEN 'CustomTfidf'
+         WHEN contains(model, '_CustomBow_') THEN 'CustomBow'
+         WHEN contains(model, '_TF-IDF_') THEN 'TF-IDF' ELSE 'BoW' END AS representation,
+    model, {s.q(BASELINE)} AS baseline, {s.r6('acc_model')} AS acc_model,
+    {s.r6('acc_baseline')} AS acc_baseline, {s.r6('p_value')} AS p_value FROM valued""")
 def test_report(spark, folder):
     preds = predictions(spark, folder, *TOKEN_RUNS)
     tests = ev.mcnemar(preds, _of(preds, BASELINE), BASELINE)
     tagged = tests.withColumns({
-        "text": F.lit("Expanded and Lower"), "representation": F.lit("TF-IDF")})
+        "text": naming.parse_run_name("model")["token_col"],
+        "representation": naming.representation("model")})
     path = Store(spark).path("tests", folder=folder)
     results.write_tests(tagged, path)
-    return rounded(results.read_p_values(spark, path), "p_value")
+    # the lookup holds as many runs as the sink
+    lookup = results.read_p_values(spark, path).select(
+        "model", "baseline", F.col("p_value").alias("found"))
+    stored = results.read_tests(spark, path).join(lookup, ["model", "baseline"])
+    same = F.col("found").eqNullSafe(F.col("p_value"))
+    return rounded(stored.where(same).drop("found"), "acc_model", "acc_baseline", "p_value")
 
 
 @register("align_predictions", s.with_(*s.predictions("run_n_grams", "bert")) + f"""
@@ -214,6 +226,18 @@ def uncertain_errors(spark, folder):
 
 
 # ----------------------------------------------------------------- cascade ----
+_K = "try_cast(regexp_extract(model, '(?:^|_)k(\\d+)(?:_|$)', 1) AS INT)"
+_W = "try_cast(regexp_extract(model, '(?:^|_)w(\\d+(?:[.]\\d+)?)(?:_|$)', 1) AS DOUBLE)"
+_ZP = "try_cast(regexp_extract(model, '(?:^|_)z(\\d+(?:[.]\\d+)?)(?:_|$)', 1) AS DOUBLE)"
+_ZALL = _ZP.replace(")z(", ")[zZ](")
+
+
+def _c(x: str) -> str:
+    """Of the curve's column, where the result has one of the same name."""
+    return x.replace("(model,", "(curve.model,")
+
+
+_NG = "nullif(regexp_extract(model, '(?:^|_)ng(\\d+-\\d+)(?:_|$)', 1), '')"
 _HARD = f"probability >= {THRESHOLD}::DOUBLE AND probability <= 1.0::DOUBLE - {THRESHOLD}::DOUBLE"
 
 
@@ -245,7 +269,8 @@ def hard_rates(spark, folder):
 
 
 _SPECIALISTS = "('SVM_Specialist', 'BERT_Basic', 'BERT_Specialist')"
-_MERGED = f"""merged AS (SELECT p.model || '_Cascade' AS model, b.doc_id, b.true_label,
+_MERGED = f"""merged AS (SELECT CASE p.model WHEN 'SVM_Specialist' THEN 'SVM_Spec_Cascade'
+      WHEN 'BERT_Specialist' THEN 'BERT_Spec_Cascade' ELSE 'BERT_Basic_Cascade' END AS model, b.doc_id, b.true_label,
     CASE WHEN b.{_HARD.replace(' AND ', ' AND b.')} THEN p.probability
          ELSE b.probability END AS probability,
     (b.{_HARD.replace(' AND ', ' AND b.')}) AS delegated
@@ -292,16 +317,16 @@ def hard_subset_metrics(spark, folder):
 _CURVE = f"""steps AS (SELECT i, CASE WHEN i = 199 THEN 1.0::DOUBLE
     ELSE 0.5::DOUBLE + i * (0.5::DOUBLE / 199) END AS c FROM range(200) t(i)),
 spec AS (SELECT doc_id, ok AS spec_ok FROM hard_labels WHERE model = {s.q(SPECIALIST)}),
-tested AS (SELECT model, c, ok, spec_ok,
+tested AS (SELECT experiment, model, c, ok, spec_ok,
     (c < 1.0 AND (probability >= c OR probability <= 1.0::DOUBLE - c))::INT AS certain
   FROM hard_labels JOIN spec USING (doc_id), steps WHERE model <> {s.q(SPECIALIST)}),
-curve AS MATERIALIZED (SELECT model, c AS certainty_threshold, avg(certain) AS coverage,
+curve AS MATERIALIZED (SELECT experiment, model, c AS certainty_threshold, avg(certain) AS coverage,
     1.0::DOUBLE - avg(certain) AS delegated,
     coalesce(sum(ok * certain) / nullif(sum(certain), 0), 1.0::DOUBLE) AS local_accuracy,
     (sum(ok * certain) + sum(spec_ok * (1 - certain)))::DOUBLE / count(*) AS hybrid_accuracy
-  FROM tested GROUP BY model, c)"""
+  FROM tested GROUP BY experiment, model, c)"""
 _RATES = ("coverage", "delegated", "local_accuracy", "hybrid_accuracy")
-_CURVE_COLUMNS = "model, " + ", ".join(
+_CURVE_COLUMNS = "experiment, model, " + ", ".join(
     f"{s.r6(c)} AS {c}" for c in ("certainty_threshold", *_RATES))
 
 
@@ -318,9 +343,9 @@ def cascade_sweep(spark, folder):
 
 
 @register("top_models", s.with_(*s.predictions(*SWEPT, "bert"), _CURVE) + f"""
-  SELECT {_CURVE_COLUMNS} FROM curve WHERE model IN (SELECT model FROM curve
-    WHERE contains(lower(model), 'svm') GROUP BY model
-    ORDER BY max(round(hybrid_accuracy, 9)) DESC, model LIMIT 4)""")
+  SELECT {_CURVE_COLUMNS} FROM curve WHERE (experiment, model) IN (SELECT (experiment, model)
+    FROM curve WHERE contains(lower(model), 'svm') GROUP BY experiment, model
+    ORDER BY max(round(hybrid_accuracy, 9)) DESC, model, experiment LIMIT 4)""")
 def top_models(spark, folder):
     curve = Store(spark).table(lambda: _curve(spark, folder)[0].withColumn(
         "hybrid_accuracy", F.round("hybrid_accuracy", 9)), "curve", folder=folder)
@@ -328,11 +353,18 @@ def top_models(spark, folder):
 
 
 @register("cascade_best", s.with_(*s.predictions(*SWEPT, "bert"), _CURVE) + f"""
-  SELECT model AS winner, {s.r6('certainty_threshold')} AS certainty_threshold,
+  SELECT curve.model AS winner, {s.r6('certainty_threshold')} AS certainty_threshold,
     round(1.0::DOUBLE - certainty_threshold, 3) AS delegation_threshold,
     {s.r6('hybrid_accuracy')} AS hybrid_accuracy, {s.r6('delegated')} AS delegated,
-    {s.r6('hybrid_accuracy - (SELECT avg(spec_ok) FROM spec)')} AS gain
-  FROM curve ORDER BY round(curve.hybrid_accuracy, 9) DESC, model, curve.certainty_threshold
+    {s.r6('hybrid_accuracy - (SELECT avg(spec_ok) FROM spec)')} AS gain,
+    CASE WHEN contains(lower(curve.model), 'svm') THEN 'linear_svm' ELSE 'logreg' END AS model,
+    coalesce(nullif(regexp_extract(curve.model, '(text|tokens)_[a-z]+'), ''), 'tokens_lower')
+      AS token_col,
+    list_transform(string_split(coalesce({_c(_NG)}, '1-3'), '-'), lambda x: x::INT) AS ngram_range,
+    coalesce({_c(_K)}, 0) AS n_concepts, coalesce({_c(_ZALL)}, 2.0::DOUBLE) AS z_threshold,
+    coalesce({_c(_K)}, 0) > 0 AS use_concepts, coalesce({_c(_W)}, 0.0::DOUBLE) AS polarity_weight
+  FROM curve ORDER BY round(curve.hybrid_accuracy, 9) DESC, curve.model,
+    curve.certainty_threshold, experiment
   LIMIT 1""")
 def cascade_best(spark, folder):
     curve, spec = _curve(spark, folder)
@@ -345,14 +377,10 @@ def cascade_best(spark, folder):
         "winner", r6("certainty_threshold").alias("certainty_threshold"),
         F.col("cascade.delegation_threshold").alias("delegation_threshold"),
         r6("hybrid_accuracy").alias("hybrid_accuracy"), r6("delegated").alias("delegated"),
-        r6("gain").alias("gain"))
+        r6("gain").alias("gain"), "model", "features.*")
 
 
 # ------------------------------------------------------------ result tables ----
-_K = "try_cast(regexp_extract(model, '(?:^|_)k(\\d+)(?:_|$)', 1) AS INT)"
-_W = "try_cast(regexp_extract(model, '(?:^|_)w(\\d+(?:[.]\\d+)?)(?:_|$)', 1) AS DOUBLE)"
-_ZP = "try_cast(regexp_extract(model, '(?:^|_)z(\\d+(?:[.]\\d+)?)(?:_|$)', 1) AS DOUBLE)"
-_NG = "nullif(regexp_extract(model, '(?:^|_)ng(\\d+-\\d+)(?:_|$)', 1), '')"
 
 
 @register("param_study", s.with_(*s.predictions("params", "grid_search", "bert"), f"""
@@ -369,32 +397,42 @@ def param_study(spark, folder):
     return rounded(tables.parameter_study(preds), "accuracy")
 
 
+BASELINES = tuple(
+    f"text_expanded_lower_{r}_{m}" for r in ("BoW", "TF-IDF") for m in ("linear_svm", "logreg"))
+
+
 def _ablation_sql() -> str:
     names = "CASE t " + " ".join(
         f"WHEN {s.q(k)} THEN {s.q(v)}" for k, v in tables.naming.TOKEN_DISPLAY.items()) + " END"
     name = ("regexp_extract(model, '^(tokens_[a-z]+)_(BoW|TF-IDF|CustomBow_Z2|CustomTfidf_Z2)"
             "_(linear_svm|logreg)$', {})")
-    return s.with_(*s.predictions(*TOKEN_RUNS), s.cells(), _PAIRS, f"""
+    return s.with_(*s.predictions(*TOKEN_RUNS), s.cells(), f"""
       f1s AS (SELECT model, {s.r6(_MACRO)} AS f FROM cells),
       parsed AS (SELECT model AS run, f, {name.format(1)} AS t,
         replace({name.format(2)}, '_Z2', '') AS rep, {name.format(3)} AS m FROM f1s
         WHERE {name.format(1)} <> ''),
       based AS (SELECT *, 'text_expanded_lower_' || CASE WHEN rep IN ('BoW', 'CustomBow')
-        THEN 'BoW' ELSE 'TF-IDF' END || '_' || m AS baseline FROM parsed)""") + f"""
+        THEN 'BoW' ELSE 'TF-IDF' END || '_' || m AS baseline FROM parsed),
+      tested AS (SELECT run, count(*) FILTER (WHERE y.ok = 1 AND x.ok = 0) AS lost,
+          count(*) FILTER (WHERE y.ok = 0 AND x.ok = 1) AS won
+        FROM based JOIN hard_labels x ON x.model = run
+          JOIN hard_labels y ON y.model = baseline AND y.doc_id = x.doc_id GROUP BY run),
+      valued AS (SELECT run, {s.p_value(
+          '(((abs(lost - won) - 1) ** 2)::DOUBLE / nullif(lost + won, 0)::DOUBLE)')} AS p_value
+        FROM tested)""") + f"""
       SELECT {names} AS token_processing, rep AS representation,
         CASE m WHEN 'logreg' THEN 'Logistic Regression' ELSE 'Linear SVM' END AS model, b.run,
         b.f AS macro_f1, b.baseline, x.f AS baseline_f1, {s.r6('v.p_value')} AS p_value,
         coalesce(round(v.p_value, 6) >= 0.05, false) AS insignificant,
         (row_number() OVER (PARTITION BY m ORDER BY b.f DESC, b.run) = 1) AS best
-      FROM based b LEFT JOIN f1s x ON x.model = b.baseline
-        LEFT JOIN valued v ON v.model = b.run AND b.baseline = {s.q(BASELINE)}"""
+      FROM based b LEFT JOIN f1s x ON x.model = b.baseline LEFT JOIN valued v ON v.run = b.run"""
 
 
 @register("ablation_table", _ablation_sql())
 def ablation_table(spark, folder):
-    preds = predictions(spark, folder, *TOKEN_RUNS)
+    preds = Store(spark).table(lambda: predictions(spark, folder, *TOKEN_RUNS), "preds", f=folder)
     scores = rounded(_stored_scores(spark, preds, f=folder), "value").drop("experiment")
-    tests = rounded(ev.mcnemar(preds, _of(preds, BASELINE), BASELINE), "p_value")
+    tests = rounded(ev.mcnemar_matched(preds, BASELINES), "p_value")
     return tables.ablation_table(scores, tests)
 
 
@@ -454,7 +492,9 @@ def pruning_tolerance(spark, folder):
     {s.p_value('(((abs(bo - co) - 1) ** 2)::DOUBLE / nullif(bo + co, 0)::DOUBLE)')} AS p
     FROM cmp)""") + f"""
   SELECT model, CASE model WHEN 'BERT_Basic_Cascade' THEN 'Base + Basic BERT'
-      WHEN 'BERT_Basic' THEN 'BERT Basic' ELSE model END AS label,
+      WHEN 'BERT_Spec_Cascade' THEN 'Base + Spec. BERT'
+      WHEN 'SVM_Spec_Cascade' THEN 'Base + Spec. SVM'
+      WHEN 'BERT_Basic' THEN 'BERT Basic' END AS label,
     {s.r6(_MACRO)} AS macro_f1, {s.r6('p')} AS p_value,
     CASE WHEN p < 0.05 AND am > ab THEN 'up' WHEN p < 0.05 AND am < ab THEN 'down'
          ELSE 'none' END AS direction,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: columns a run can be built on, in order of preference ------
@@ -82,6 +82,17 @@ def display_name(code: Column, table: dict[str, str]) -> Column:
     return out
 
 
+def run_keys(df: DataFrame) -> list[str]:
+    """The columns that tell runs apart: a model's name may occur in several experiments."""
+    return [c for c in ("experiment", "model") if c in df.columns]
+
+
+def cascade_name(specialist: Column | str) -> Column:
+    """Name of the cascade that delegates to a specialist, e.g. SVM_Spec_Cascade."""
+    s = F.col(specialist) if isinstance(specialist, str) else specialist
+    return F.concat(F.regexp_replace(s, "_Specialist$", "_Spec"), F.lit("_Cascade"))
+
+
 def short_model_name(model: Column) -> Column:
     for key, shown in MODEL_SHORT.items():
         model = F.replace(model, F.lit(key), F.lit(shown))

@@ -7,11 +7,13 @@ an experiment column, and handle any number of models in one pass.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicade.functions import stats
+from lexicade.functions.naming import run_keys
 from lexicade.functions.text import outcome_label, predict_label, uncertainty
 from lexicade.operators.ranking import top_per_group
 
@@ -96,9 +98,10 @@ def model_metrics(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
 
 
 def same_documents(
-    models: DataFrame, baseline: DataFrame, by: Sequence[str] = ("model",), key: str = "doc_id"
+    models: DataFrame, baseline: DataFrame, by: Sequence[str] | None = None, key: str = "doc_id"
 ) -> DataFrame:
-    """Rows (by...) of the models that predict exactly the baseline's documents."""
+    """Rows (by...) of the runs that predict exactly the baseline's documents."""
+    by = list(by or run_keys(models))
     size = baseline.agg(F.count("*")).scalar()
     known = baseline.select(key, F.lit(1).alias("_b"))
     per = models.select(*by, key).join(known, key, "left").groupBy(*by).agg(
@@ -107,12 +110,14 @@ def same_documents(
 
 
 def align(
-    models: DataFrame, baseline: DataFrame, by: Sequence[str] = ("model",), key: str = "doc_id"
+    models: DataFrame, baseline: DataFrame, by: Sequence[str] | None = None, key: str = "doc_id"
 ) -> DataFrame:
-    """Pair every model's predictions with the baseline's on the same document.
+    """Pair every run's predictions with the baseline's on the same document.
 
-    Adds ``baseline_probability``; models on other documents are left out.
+    A run is a model, within its experiment where ``models`` has that column. Adds
+    ``baseline_probability``; runs on other documents are left out.
     """
+    by = list(by or run_keys(models))
     complete = same_documents(models, baseline, by, key)
     pairs = models.join(
         baseline.select(key, F.col("probability").alias("baseline_probability")), key)
@@ -167,6 +172,15 @@ def mcnemar(
     return _tested(paired, by, size).withColumn("baseline", F.lit(baseline_name))
 
 
+def mcnemar_matched(
+    preds: DataFrame, baselines: Sequence[str], by: Sequence[str] = ("experiment", "model"),
+    key: str = "doc_id",
+) -> DataFrame:
+    """The test of every run against each of several baselines, which are runs of ``preds``."""
+    tests = [mcnemar(preds, preds.where(F.col("model") == b), b, by, key) for b in baselines]
+    return reduce(DataFrame.unionByName, tests)
+
+
 def mcnemar_within(
     preds: DataFrame, group: Sequence[str], variant: str, baseline: object,
     key: str = "doc_id",

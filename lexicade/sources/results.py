@@ -97,8 +97,12 @@ def write_tests(tests: DataFrame, path: str) -> None:
     )
 
 
+def read_tests(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """All columns of stored significance tests."""
+    return spark.read.schema(TESTS).option("header", True).csv(
+        paths if isinstance(paths, str) else list(paths))
+
+
 def read_p_values(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lookup table (model, baseline, p_value)."""
-    df = spark.read.schema(TESTS).option("header", True).csv(
-        paths if isinstance(paths, str) else list(paths))
-    return df.select("model", "baseline", "p_value")
+    return read_tests(spark, paths).select("model", "baseline", "p_value")
