@@ -15,27 +15,37 @@ from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import load_documents
 
 K = 200
+# squared distance by which the last round of k-means may leave a unit off its nearest mean
+MOVE = 0.05
 
 
 # ---------------------------------------------------------------- polarity ----
 def _polarity_sql() -> str:
     values = ", ".join(f"({s.q(t)}, {v}::DOUBLE)" for t, v in lx.VALENCES.items())
-    return f"""WITH lows AS (
-      SELECT doc_id, {s.lower(s.tokens('text'))} AS t FROM documents),
-    units AS MATERIALIZED (SELECT DISTINCT term FROM (
-      SELECT unnest({s.grams('CASE WHEN len(t) = 0 THEN [' + s.q('') + '] ELSE t END')}) AS term
-      FROM lows)),
-    lexicon(token, valence) AS (VALUES {values}),
-    parts AS (SELECT term, w, i, w[i] AS token FROM (
-      SELECT term, w, unnest(range(1, len(w) + 1)) AS i FROM (
-        SELECT term, string_split(lower(term), ' ') AS w FROM units))),
-    sums AS (SELECT term, sum(valence * CASE WHEN len(list_filter(
-        list_slice(w, greatest(i - {lx.NEGATION_REACH}, 1), i - 1),
-        lambda x: x IN {s.in_list(lx.NEGATORS)})) > 0
-        THEN {lx.NEGATION_FACTOR}::DOUBLE ELSE 1.0::DOUBLE END) AS total
-      FROM parts JOIN lexicon USING (token) GROUP BY term)
-    SELECT term, {s.r6(f'coalesce(total / sqrt(total * total + {lx.POLARITY_ALPHA}::DOUBLE), 0)')}
-      AS score FROM units LEFT JOIN sums USING (term)"""
+    negators = s.in_list(lx.NEGATORS)
+
+    def value(x: str, *before: str) -> str:
+        sign = " OR ".join(f"coalesce({b} IN {negators}, false)" for b in before) or "false"
+        return (f"coalesce(v_{x} * CASE WHEN {sign} THEN {lx.NEGATION_FACTOR}::DOUBLE "
+                "ELSE 1.0::DOUBLE END, 0)")
+
+    # the n-grams are made by position; only those with a listed word are scored
+    return f"""WITH lexicon(token, valence) AS (VALUES {values}),
+    lows AS MATERIALIZED (SELECT row_number() OVER () AS r, CASE WHEN len(t) = 0 THEN [''] ELSE t END AS t
+      FROM (SELECT {s.lower(s.tokens('text'))} AS t FROM documents)),
+    spread AS (SELECT r, unnest(t) AS w, unnest(range(len(t))) AS i FROM lows),
+    valued AS (SELECT r, i, w, valence AS v FROM spread LEFT JOIN lexicon ON token = w),
+    windows AS MATERIALIZED (SELECT w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c,
+        v AS v_a, lead(v) OVER o AS v_b, lead(v, 2) OVER o AS v_c
+      FROM valued WINDOW o AS (PARTITION BY r ORDER BY i)),
+    units AS (
+      SELECT DISTINCT a AS term, {value('a')} AS total FROM windows UNION ALL
+      SELECT DISTINCT a || ' ' || b, {value('a')} + {value('b', 'a')} FROM windows
+        WHERE b IS NOT NULL UNION ALL
+      SELECT DISTINCT a || ' ' || b || ' ' || c, {value('a')} + {value('b', 'a')}
+        + {value('c', 'a', 'b')} FROM windows WHERE c IS NOT NULL)
+    SELECT term, {s.r6(f'total / sqrt(total * total + {lx.POLARITY_ALPHA}::DOUBLE)')} AS score
+    FROM units"""
 
 
 @register("lexicon_polarity", _polarity_sql())
@@ -164,14 +174,53 @@ def top_concepts(spark, folder):
 
 
 # ---------------------------------------------------- word vectors, k-means ----
-@register("unit_embeddings")
+_H = "('0x' || substr(md5(near), {}, 8))::UBIGINT::BIGINT"
+_EMBEDDED = """words AS MATERIALIZED (SELECT DISTINCT unnest(string_split(term, ' ')) AS word FROM feats),
+  around AS (SELECT t[i] AS word, t[j] AS near FROM (
+    SELECT t, i, unnest(range(greatest(i - 5, 1), least(i + 5, len(t)) + 1)) AS j FROM (
+      SELECT t, unnest(range(1, len(t) + 1)) AS i FROM toks WHERE split = 'train'))),
+  nears AS MATERIALIZED (SELECT word, near, count(*) AS n FROM around JOIN words USING (word)
+    GROUP BY word, near),
+  bits AS MATERIALIZED (SELECT near, d, 2 * (((CASE WHEN d < 32 THEN {0} ELSE {1} END)
+      >> (d % 32)::INT) & 1) - 1 AS sign
+    FROM (SELECT DISTINCT near FROM nears), range(64) t(d)),
+  sums AS (SELECT word, d, sum(n * sign)::DOUBLE AS v FROM nears JOIN bits USING (near)
+    GROUP BY word, d),
+  units_w AS MATERIALIZED (SELECT word, d, v / sqrt(sum(v * v) OVER (PARTITION BY word)) AS v
+    FROM sums),
+  spread AS (SELECT term, df, unnest(string_split(term, ' ')) AS word FROM feats),
+  added AS (SELECT term, df, d, sum(v) AS v FROM spread JOIN units_w USING (word) GROUP BY ALL)
+""".format(_H.format(1), _H.format(9))
+
+
+@register("unit_embeddings", s.with_(*s.features(), _EMBEDDED) + f"""SELECT term, df, d::INT AS pos,
+    {s.r6('v / sqrt(sum(v * v) OVER (PARTITION BY term))')} AS x FROM added""")
 def unit_embeddings(spark, folder):
     src, store = rp.Source(folder), Store(spark)
-    return rp.unit_vectors(spark, src, store)
+    rows = rp.unit_vectors(spark, src, store).select("term", "df", F.posexplode("embedding").alias("pos", "x"))
+    return rounded(rows, "x")
 
 
-@register("concept_kmeans")
+@register("concept_kmeans", s.with_(*s.features()) + """SELECT term, df, true AS nearest,
+    true AS in_range FROM feats""")
 def concept_kmeans(spark, folder):
+    """Every unit: whether its concept's centre is its nearest, and its id one of k."""
     src, store = rp.Source(folder), Store(spark)
-    mapped, _ = rp.concept_map(spark, src, store, k=50, w=10.0)
-    return mapped.select("term", "df", "concept_id")
+    k, w = 50, 10.0
+    mapped, _ = rp.concept_map(spark, src, store, k=k, w=w)
+    points = rp.unit_vectors(spark, src, store).select(
+        "term", co.augment("embedding", "score", w).alias("vector"))
+    # the raw centres are the means of their members
+    parts = points.join(mapped, "term")
+    means = parts.select("concept_id", F.posexplode("vector").alias("pos", "x")).groupBy(
+        "concept_id", "pos").agg(F.avg("x").alias("m"))
+    centres = means.groupBy("concept_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("centroid"))
+    near = co.nearest_centroid(points, centres, "vector").select("term", "dist")
+    own = parts.join(centres, "concept_id").select(
+        "term", "df", "concept_id", F.aggregate(F.zip_with(
+            "vector", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("own"))
+    # k-means stops after its rounds, so a unit may lie a little closer to another mean
+    return own.join(near, "term").select(
+        "term", "df", (F.col("own") <= F.col("dist") + MOVE).alias("nearest"),
+        F.col("concept_id").between(0, k - 1).alias("in_range"))

@@ -20,6 +20,7 @@ from lexicade.operators.joins import attach_small, join_per_key
 from lexicade.operators.ranking import top_per_group
 
 ITERATIONS = 20
+SIZE = 64
 SEED = 42
 # centroids are handed to the executors in blocks of at most this many numbers
 BLOCK_NUMBERS = 4_000_000
@@ -68,25 +69,82 @@ def unit_length(v: Column) -> Column:
     return F.transform(d, lambda x: F.try_divide(x, vector_length(d)))
 
 
+def _signs(word: Column, size: int) -> list[Column]:
+    """-1 or 1 per dimension, from the bits of the word's MD5 digest."""
+    parts = [F.conv(F.substring(F.md5(word), 8 * i + 1, 8), 16, 10).cast("long")
+             for i in range(-(-size // 32))]
+    return [F.shiftright(parts[d // 32], d % 32).bitwiseAND(F.lit(1)) * 2 - 1 for d in range(size)]
+
+
+def word_vectors(
+    docs: DataFrame, words: DataFrame, tokens: str = "tokens", size: int = SIZE, window: int = 5,
+) -> DataFrame:
+    """Rows (word, vector): the summed signs of all words around the word's occurrences.
+
+    The occurrence itself is in its window. A word whose sum is zero, or that ``docs``
+    lack, has its own signs. Counts of (word, neighbour) pairs are combined before the
+    shuffle; the sums are whole numbers, the same on any cluster. ``size`` is at most 128.
+    """
+    t = F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(F.col(tokens))
+    near = F.flatten(F.transform("_t", lambda w, i: F.transform(
+        F.slice("_t", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window + 1),
+        lambda x: F.struct(w.alias("word"), x.alias("near")))))
+    pairs = docs.select(t.alias("_t")).select(F.explode(near).alias("p")).select("p.*")
+    counts = attach_small(pairs, words, "word").groupBy("word", "near").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("word").agg(*[
+        F.sum(F.col("n") * s).alias(f"v{d}") for d, s in enumerate(_signs(F.col("near"), size))])
+    summed = sums.select("word", F.array(*[f"v{d}" for d in range(size)]).alias("_v"))
+    own = F.array(*_signs(F.col("word"), size))
+    usable = F.exists("_v", lambda x: x != 0)
+    return words.join(summed, "word", "left").select(
+        "word", F.when(usable, F.col("_v")).otherwise(own).cast("array<double>").alias("vector"))
+
+
 def embed_words(
     docs: DataFrame, units: DataFrame, tokens: str = "tokens", unit: str = "term",
-    size: int = 64, seed: int = SEED, partitions: int | None = None, max_iter: int = 1,
+    size: int = SIZE, window: int = 5,
+) -> DataFrame:
+    """``units`` with ``embedding``: the mean of their words' vectors, at unit length.
+
+    Every unit keeps its row. Word vectors (``word_vectors``) come from ``docs`` and are
+    brought to unit length first; where a mean is zero the first word's vector stands.
+    """
+    split = units.select(unit, F.posexplode(F.split(F.col(unit), " ")).alias("_i", "word"))
+    vectors = word_vectors(docs, split.select("word").distinct(), tokens, size, window).select(
+        "word", unit_length(F.col("vector")).alias("v"))
+    # a unit has a few words
+    parts = split.join(vectors, "word").groupBy(unit).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "v"))).alias("_p"))
+    first = F.col("_p")[0]["v"]
+    zero = F.array_repeat(F.lit(0.0), size)
+    total = F.aggregate("_p", zero, lambda s, p: F.zip_with(s, p["v"], lambda x, y: x + y))
+    mean = parts.select(unit, first.alias("_first"), total.alias("_sum"))
+    length = vector_length(F.col("_sum"))
+    return units.join(mean.select(
+        unit, F.when(length > 1e-9, unit_length(F.col("_sum"))).otherwise(F.col("_first")).alias("embedding")),
+        unit)
+
+
+def embed_word2vec(
+    docs: DataFrame, units: DataFrame, tokens: str = "tokens", unit: str = "term",
+    size: int = SIZE, seed: int = SEED, partitions: int = 8, max_iter: int = 1, min_count: int = 1,
 ) -> DataFrame:
-    """Rows (unit, embedding): mean word vector of the unit, at unit length.
+    """As ``embed_words``, with trained word vectors; units without a known word fail loudly.
 
-    Word vectors are trained on ``docs``, by default in as many partitions as there
-    are cores; units without a known word get none.
+    Spark's Word2Vec holds the whole vocabulary on the driver and in every task, so this is
+    for vocabularies that fit there.
     """
-    partitions = partitions or docs.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
-        vectorSize=size, minCount=5, seed=seed, numPartitions=partitions, maxIter=max_iter,
+        vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=max_iter,
         inputCol=tokens, outputCol="_mean", windowSize=5,
     ).fit(docs.select(tokens))
     split = units.withColumn(tokens, F.split(F.col(unit), " "))
     mean = vector_to_array(F.col("_mean"))
     embedded = model.transform(split).withColumn("embedding", mean).drop("_mean", tokens)
-    return embedded.where(vector_length(F.col("embedding")) > 0).withColumn(
-        "embedding", unit_length(F.col("embedding")))
+    length = vector_length(F.col("embedding"))
+    missing = F.raise_error(F.concat(F.lit("no vector for unit "), F.col(unit)))
+    return embedded.withColumn("embedding", F.when(length > 0, unit_length(F.col("embedding"))).otherwise(
+        missing.cast("array<double>")))
 
 
 def embed_with(

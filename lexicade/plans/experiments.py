@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.operators.models import MODELS, fit_model, predict
-from lexicade.plans.representation import Source, load_representation, vectors
+from lexicade.plans.representation import Source, encoder_key, load_representation, vectors
 from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import TOKEN_COLUMNS
 
@@ -95,7 +95,7 @@ def grid_specs(src: Source, models: Sequence[str] = MODELS,
 
 def run_experiments(
     spark: SparkSession, specs: Iterable[Spec], store: Store, split: str = "val",
-    embed: Callable | None = None,
+    embed: Callable | None = None, encoder: str | None = None,
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """Fit and score every specification.
 
@@ -114,7 +114,8 @@ def run_experiments(
             for old in shared.values():  # specifications come grouped by features
                 old.unpersist()
             shared.clear()
-            rep = load_representation(spark, s.source, store, s.z, s.k, s.w, embed)
+            rep = load_representation(
+                spark, s.source, store, s.z, s.k, s.w, embed, encoder=encoder)
             if rep.size < 2:
                 return None
             shared[at] = vectors(rep, s.weighting).persist()
@@ -131,8 +132,9 @@ def run_experiments(
             elapsed = time.perf_counter() - start
             rows = predict(model, data.where(F.col("split") == split), s.name).select(
                 F.lit(s.experiment).alias("experiment"), "*", F.lit(elapsed).alias("elapsed_s"))
-            done.append(store.table(lambda rows=rows: rows, "predictions", spec=repr(s),
-                                    split=split))
+            done.append(store.table(
+                lambda rows=rows: rows, "predictions", spec=repr(s), split=split,
+                embed=encoder_key(embed, encoder) if s.k else None))
         except Exception as error:  # one bad configuration must not stop the series
             failed[s.name] = f"{type(error).__name__}: {error}"
     for old in shared.values():

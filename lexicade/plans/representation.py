@@ -96,43 +96,80 @@ def unit_matrix(spark: SparkSession, src: Source, store: Store) -> DataFrame:
     return store.table(build, "unit_matrix", **src.key())
 
 
-def unit_vectors(spark: SparkSession, src: Source, store: Store,
-                 embed: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def encoder_key(embed: Callable | None, encoder: str | None) -> str:
+    """Name and version of the encoder, part of the key of every table that depends on it."""
+    if embed is None:
+        return "neighbour signs 1"
+    if not encoder:
+        raise ValueError("name the encoder and its version (encoder=...) when embed is given")
+    return encoder
+
+
+def unit_vectors(
+    spark: SparkSession, src: Source, store: Store,
+    embed: Callable[[DataFrame, DataFrame], DataFrame] | None = None, encoder: str | None = None,
+    valences: DataFrame | None = None,
+) -> DataFrame:
     """Stored (term, df, embedding, score) of the kept units.
 
-    ``embed(units, train)`` returns the units with an ``embedding`` column; the
-    default averages word vectors trained on the training split.
+    ``embed(units, train)`` returns the units with an ``embedding`` column and has a name,
+    ``encoder``; the default sums the signs of neighbouring words in the training split.
+    ``valences`` (token, valence) replaces the lexicon.
     """
     def build() -> DataFrame:
         units = unit_features(spark, src, store).select("term", "df")
         train = source_documents(spark, src, store, "train")
         embedded = embed(units, train) if embed else oc.embed_words(train, units)
-        scores = oc.polarity(units.select("term"), oc.valence_table(spark))
+        scores = oc.polarity(units.select("term"), lexicon)
         return embedded.join(scores, "term")
 
-    name = getattr(embed, "__name__", "embed_words")
-    return store.table(build, "unit_vectors", embed=name, **src.key())
+    lexicon = valences if valences is not None else oc.valence_table(spark)
+    return store.table(build, "unit_vectors", embed=encoder_key(embed, encoder),
+                       valences=lexicon_key(valences), **src.key())
+
+
+def lexicon_key(valences: DataFrame | None) -> str:
+    """The given word list's number of rows and checksum."""
+    if valences is None:
+        return "default"
+    row = valences.agg(F.count("*").alias("n"), F.sum(F.crc32(
+        F.concat_ws(":", "token", F.col("valence").cast("string")).cast("binary"))).alias("c")).first()
+    return f"{row.n}:{row.c}"
 
 
 def concept_map(
     spark: SparkSession, src: Source, store: Store, k: int, w: float,
-    embed: Callable | None = None, seed: int = oc.SEED,
+    embed: Callable | None = None, seed: int = oc.SEED, encoder: str | None = None,
+    valences: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Stored (term, df, concept_id) and (concept_id, centroid), for every k and w."""
-    params = {"k": k, "w": w, "seed": seed, "embed": getattr(embed, "__name__", "embed_words"),
-              **src.key()}
+    params = concept_key(src, k, w, embed, seed, encoder, valences)
     fitted: dict[str, DataFrame] = {}
+    held: list[DataFrame] = []
 
     def fit(part: str) -> DataFrame:
         if not fitted:
-            vectors = unit_vectors(spark, src, store, embed).withColumn(
-                "vector", oc.augment("embedding", "score", w)).persist()
-            assigned, fitted["centroids"] = oc.fit_concepts(vectors, k, seed=seed)
+            held.append(unit_vectors(spark, src, store, embed, encoder, valences).withColumn(
+                "vector", oc.augment("embedding", "score", w)).persist())
+            assigned, fitted["centroids"] = oc.fit_concepts(held[0], k, seed=seed)
             fitted["map"] = assigned.select("term", "df", "concept_id")
         return fitted[part]
 
-    mapped = store.table(lambda: fit("map"), "concept_map", **params)
-    return mapped, store.table(lambda: fit("centroids"), "concept_centroids", **params)
+    try:
+        mapped = store.table(lambda: fit("map"), "concept_map", **params)
+        return mapped, store.table(lambda: fit("centroids"), "concept_centroids", **params)
+    finally:
+        for rows in held:
+            rows.unpersist()
+
+
+def concept_key(src: Source, k: int, w: float, embed: Callable | None, seed: int,
+                encoder: str | None, valences: DataFrame | None = None) -> dict[str, object]:
+    """Every parameter that shapes a concept table; units (k = 0) depend on the source only."""
+    if k == 0:
+        return {"k": 0, **src.key()}
+    return {"k": k, "w": w, "seed": seed, "embed": encoder_key(embed, encoder),
+            "valences": lexicon_key(valences), **src.key()}
 
 
 def concept_features(scored_counts: DataFrame, k: int) -> DataFrame:
@@ -142,10 +179,12 @@ def concept_features(scored_counts: DataFrame, k: int) -> DataFrame:
 
 def load_representation(
     spark: SparkSession, src: Source, store: Store, z: float | None = 2.0, k: int = 0,
-    w: float = 0.0, embed: Callable | None = None,
+    w: float = 0.0, embed: Callable | None = None, seed: int = oc.SEED,
+    encoder: str | None = None, valences: DataFrame | None = None,
 ) -> Representation:
     """Units for ``k = 0``, else concepts; pruned at ``z`` unless it is None."""
-    params = {"z": z, "k": k, "w": w, **src.key()}
+    shape = concept_key(src, k, w, embed, seed, encoder, valences)
+    params = {"z": z, **shape}
     docs = assignments(spark, src, store)
     matrix = unit_matrix(spark, src, store)
     if k == 0:
@@ -157,11 +196,11 @@ def load_representation(
         kept = store.table(chosen, "kept_units", **params)
         cells = join_per_key(matrix.drop("df"), kept, "term", "doc_id", "df")
     else:
-        mapped, centroids = concept_map(spark, src, store, k, w, embed)
+        mapped, centroids = concept_map(spark, src, store, k, w, embed, seed, encoder, valences)
         n_concepts = centroids.count()
         counts = store.table(
             lambda: oc.concept_counts(matrix.drop("df"), mapped, ("doc_id", "label", "split")),
-            "concept_matrix", k=k, w=w, **src.key())
+            "concept_matrix", **shape)
 
         def chosen() -> DataFrame:
             train = counts.where("split = 'train'")
