@@ -14,9 +14,9 @@ from lexicade.operators.weighting import inverse_frequency, tfidf as tfidf_weigh
 from lexicade.plans import representation as rp
 from lexicade.plans.corpus import all_tokens, split_assignments, split_corpus
 from lexicade.sources.artifacts import Store
-from lexicade.sources.corpus import load_corpus, read_split, write_splits
+from lexicade.sources.corpus import TOKEN_COLUMNS, load_corpus, read_split, write_splits
 
-COLUMNS = ("tokens_cased", "tokens_lower", "tokens_filtered", "tokens_letters")
+COLUMNS = TOKEN_COLUMNS
 
 
 def _counts(spark, src, store, split=None):
@@ -29,9 +29,7 @@ def _train_size(spark, src, store):
 
 
 def _class_counts(spark, src, store):
-    return sc.class_counts(
-        _counts(spark, src, store, "train"), _train_size(spark, src, store),
-        src.min_df, src.max_df)
+    return rp.unit_class_counts(spark, src, store)
 
 
 def _scored(spark, folder, store, **options):
@@ -113,8 +111,7 @@ def term_counts(spark, folder):
 def vocabulary(spark, folder):
     src, store = rp.Source(folder), Store(spark)
     vocab = store.table(
-        lambda: vo.vocabulary(_counts(spark, src, store, "train"),
-                              _train_size(spark, src, store)), "vocabulary", **src.key())
+        lambda: _class_counts(spark, src, store).select("term", "df"), "vocabulary", **src.key())
     return vo.indexed_vocabulary(vocab)
 
 
@@ -195,10 +192,17 @@ def keep_union(spark, folder):
     return sc.keep_either_class(scored, 2.0)
 
 
+def _swept(col: str) -> list[str]:
+    """Token lists of the training split; its vocabulary is the dictionary of lemmas."""
+    if col in ("tokens_stemmed", "tokens_lemmatized"):
+        return s.mapped_docs(col, "split = 'train'")
+    return s.token_docs(col)
+
+
 def _sweep_sql() -> str:
     parts = []
     for col in COLUMNS:
-        parts.append("SELECT * FROM (" + s.with_(*s.z_features(col)) + f"""SELECT
+        parts.append("SELECT * FROM (" + s.with_(*_swept(col), s.term_counts(), s.FEATURES, s.Z) + f"""SELECT
           '{col}' AS token_col, threshold, count(*) AS base_size,
           count(*) FILTER (WHERE z > threshold) AS kept_pos,
           count(*) FILTER (WHERE -z > threshold) AS kept_neg,
@@ -210,18 +214,21 @@ def _sweep_sql() -> str:
 
 @register("zscore_sweep", _sweep_sql())
 def zscore_sweep(spark, folder):
-    from lexicade.plans.corpus import native_tokens
-
     store = Store(spark)
-    docs = native_tokens(split_corpus(spark, folder, store, split="train"))
+    docs = all_tokens(
+        split_corpus(spark, folder, store, split="train"), store, folder=folder, split="train")
     variants = F.explode(F.array(*[
         F.struct(F.lit(c).alias("token_col"), F.col(c).alias("tokens")) for c in COLUMNS]))
     long = docs.select("doc_id", "label", variants.alias("_v")).select("doc_id", "label", "_v.*")
-    counts = vo.term_counts(long, "tokens", (1, 3), ("doc_id", "label", "token_col"))
+    by = ["token_col"]
+    frequent = store.table(
+        lambda: vo.frequent_words(long, "tokens", by=by), "frequent", folder=folder)
+    counts = vo.frequent_term_counts(
+        long, frequent, "tokens", (1, 3), ("doc_id", "label", "token_col"), by)
     n_train = F.lit(rp.train_size(spark, rp.Source(folder), store))
     kept = store.table(
-        lambda: sc.class_counts(counts, n_train, by=["token_col"]), "class_counts", folder=folder)
-    return sc.threshold_sweep(sc.z_scores(kept, by=["token_col"]), by=["token_col"])
+        lambda: sc.class_counts(counts, n_train, by=by), "class_counts", folder=folder)
+    return sc.threshold_sweep(sc.z_scores(kept, by=by), by=by)
 
 
 def _depth_sql() -> str:

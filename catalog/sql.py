@@ -290,3 +290,22 @@ def stemmed_documents() -> str:
         "spread AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM lows)",
     ) + ("SELECT doc_id, list(stem ORDER BY pos) AS tokens FROM spread JOIN stems USING (token) "
          "GROUP BY doc_id")
+
+
+def mapped_docs(column: str, where: str = "true") -> list[str]:
+    """As token_docs, with every lower-case token replaced by its stem or lemma."""
+    if column == "tokens_stemmed":
+        table = [f"mapping AS MATERIALIZED (SELECT token, stem AS form FROM ({porter_steps('words')}))"]
+    else:
+        table = [f"forms AS ({lemma_candidates('words')})",
+                 """mapping AS MATERIALIZED (SELECT f.token,
+    arg_min(f.lemma, length(f.lemma) * 100 + f.o) AS form
+  FROM forms f JOIN words w ON f.lemma = w.token GROUP BY f.token)"""]
+    lows = token_docs("tokens_lower")
+    return [*lows[:-1], lows[-1].replace("toks AS", "lows AS"),
+            f"lowered AS MATERIALIZED (SELECT * FROM lows WHERE {where})",
+            "words AS MATERIALIZED (SELECT DISTINCT unnest(t) AS token FROM lowered)", *table,
+            """toks AS MATERIALIZED (SELECT doc_id, label, split,
+    list(coalesce(form, token) ORDER BY pos) AS t FROM (
+      SELECT doc_id, label, split, unnest(t) AS token, unnest(range(len(t))) AS pos FROM lowered)
+    LEFT JOIN mapping USING (token) GROUP BY doc_id, label, split)"""]

@@ -10,7 +10,7 @@ from catalog.registry import register
 from lexicade.functions import text as tx
 from lexicade.functions.naming import parse_with_defaults
 from lexicade.operators.lemmas import lemma_table, lemmatize
-from lexicade.plans.corpus import native_tokens
+from lexicade.plans.corpus import all_tokens, native_tokens
 from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import load_documents, spread_small
 
@@ -106,12 +106,24 @@ def tokens_lemmatized(spark, folder):
 @register("representations", s.with_(
     s.NOISY, f"cleaned AS (SELECT doc_id, text, {s.clean('text')} AS text_clean FROM noisy)",
     f"""expanded AS (SELECT *, {s.expand('text_clean')} AS text_expanded FROM cleaned)""",
-    f"""cased AS (SELECT *, {s.tokens('text_expanded')} AS c FROM expanded)""",
+    f"""cased AS MATERIALIZED (SELECT *, {s.tokens('text_expanded')} AS c FROM expanded)""",
+    f"""spread AS MATERIALIZED (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos
+      FROM (SELECT doc_id, {s.lower('c')} AS t FROM cased))""",
+    "words AS MATERIALIZED (SELECT DISTINCT token FROM spread)",
+    f"stems AS MATERIALIZED ({s.porter_steps('words')})",
+    f"forms AS ({s.lemma_candidates('words')})",
+    """lemmas AS MATERIALIZED (SELECT f.token,
+      arg_min(f.lemma, length(f.lemma) * 100 + f.o) AS lemma
+      FROM forms f JOIN words w ON f.lemma = w.token GROUP BY f.token)""",
+    """mapped AS (SELECT doc_id, list(stem ORDER BY pos) AS stems,
+      list(coalesce(lemma, token) ORDER BY pos) AS lemmas
+      FROM spread JOIN stems USING (token) LEFT JOIN lemmas USING (token) GROUP BY doc_id)""",
 ) + f"""SELECT doc_id, text AS text_raw, text_clean, text_expanded, c AS tokens_cased,
   {s.lower('c')} AS tokens_lower, {s.filtered(s.lower('c'))} AS tokens_filtered,
-  {s.letters(s.lower('c'))} AS tokens_letters FROM cased""")
+  {s.letters(s.lower('c'))} AS tokens_letters, stems AS tokens_stemmed,
+  lemmas AS tokens_lemmatized FROM cased JOIN mapped USING (doc_id)""")
 def representations(spark, folder):
-    return native_tokens(noisy_documents(spark, folder)).withColumnRenamed("text", "text_raw")
+    return all_tokens(noisy_documents(spark, folder), Store(spark), folder=folder)
 
 
 @register("ngrams", s.with_(

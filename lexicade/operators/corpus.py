@@ -25,7 +25,13 @@ def drop_duplicate_texts(docs: DataFrame, text: str = "text", key: str = "doc_id
     Only digests are grouped, with map-side combining, so that many copies of
     one text stay cheap; the rows themselves move once, to the join on the key.
     """
-    first = docs.groupBy(text_digest(text)).agg(F.min(key).alias(key)).select(key)
+    return first_of_digest(docs, text_digest(text), key)
+
+
+def first_of_digest(docs: DataFrame, digest: Column | str, key: str = "doc_id") -> DataFrame:
+    """The row of lowest key of every digest; where that is a column, no text is needed."""
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    first = docs.groupBy(digest).agg(F.min(key).alias(key)).select(key)
     return docs.join(first.hint("shuffle_hash"), key, "left_semi")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicade.functions.text import ngrams
-from lexicade.operators.joins import BROADCAST_ROWS, join_per_key
+from lexicade.operators.joins import BROADCAST_ROWS, attach_small, join_per_key
 from lexicade.operators.ranking import sorted_index
 
 MIN_DF = 10
@@ -44,6 +44,50 @@ def _terms(docs: DataFrame, tokens: Column | str, n_range: tuple[int, int],
     return listed.select(*keep, F.explode(ngrams("_t", n_range)).alias("term"))
 
 
+def frequent_words(
+    docs: DataFrame, tokens: Column | str = "tokens", min_df: int = MIN_DF, by: Sequence[str] = (),
+) -> DataFrame:
+    """Rows (by..., word, df) of the words in at least ``min_df`` documents."""
+    words = docs.select(*by, F.explode(F.array_distinct(units(tokens))).alias("word"))
+    return words.groupBy(*by, "word").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+
+
+def frequent_term_counts(
+    docs: DataFrame,
+    frequent: DataFrame,
+    tokens: Column | str = "tokens",
+    n_range: tuple[int, int] = (1, 3),
+    keep: Sequence[str] = ("doc_id",),
+    by: Sequence[str] = (),
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows (keep..., term, cnt) of the n-grams whose words are all ``frequent`` (by..., word, df).
+
+    ``keep`` tells the rows of ``docs`` apart and holds ``by``.
+
+    No n-gram is in more documents than any of its words, so with the stored result of
+    ``frequent_words`` nothing is lost that a limit of ``min_df`` would keep, and
+    the many rare n-grams are neither counted nor shuffled.
+    """
+    listed = docs.select(*keep, F.posexplode(units(tokens)).alias("_i", "word"))
+    known = frequent.select(*by, "word", F.lit(True).alias("_known"))
+    marked = attach_small(listed, known, [*by, "word"], "left", broadcast_rows)
+    lo, hi = n_range
+    place = Window.partitionBy(*keep).orderBy("_i")
+    word = F.when(F.col("_known"), F.col("word"))
+    # a word apart from its neighbour in the list is no neighbour; all tokens are still rows
+    wide = marked.select(*keep, *[
+        (F.lead(word, n).over(place) if n else word).alias(f"_w{n}") for n in range(hi)])
+    grams = []
+    for n in range(lo, hi + 1):
+        whole = F.lit(True)
+        for i in range(n):
+            whole = whole & F.col(f"_w{i}").isNotNull()
+        grams.append(F.when(whole, F.concat_ws(" ", *[f"_w{i}" for i in range(n)])))
+    terms = wide.where("_w0 is not null").select(*keep, F.explode(F.array_compact(F.array(*grams))).alias("term"))
+    return terms.groupBy(*keep, "term").agg(F.count("*").alias("cnt"))
+
+
 def known_term_counts(
     docs: DataFrame,
     vocab: DataFrame,

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.functions import text as tx
-from lexicade.operators.corpus import SEED, SPLIT_ENDS, drop_duplicate_texts, stratified_split
-from lexicade.operators.lemmas import lemma_table, lemmatize
+from lexicade.operators.corpus import (
+    SEED, SPLIT_ENDS, first_of_digest, stratified_split, text_digest,
+)
+from lexicade.operators.lemmas import distinct_tokens, lemma_table, lemmatize
 from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import load_corpus, load_documents
 
@@ -17,12 +19,14 @@ def split_assignments(
 ) -> DataFrame:
     """Stored table (doc_id, label, odd, split) of the first row of every distinct text.
 
-    It is narrow, so that document counts and splits never touch the texts again.
+    It is narrow, so that document counts and splits never touch the texts again; the
+    texts' digests are made at the scan and the texts go no further.
     ``odd`` marks texts that NFKC may change.
     """
     def kept() -> DataFrame:
-        docs = load_corpus(spark, folder, label, {"odd": tx.maybe_not_nfkc("text")})
-        return drop_duplicate_texts(docs).select("doc_id", "label", "odd")
+        docs = load_corpus(spark, folder, label, {
+            "odd": tx.maybe_not_nfkc("text"), "digest": text_digest("text")})
+        return first_of_digest(docs.drop("text"), "digest").select("doc_id", "label", "odd")
 
     def split() -> DataFrame:
         # the split reads its input several times, so the texts must be behind it
@@ -101,9 +105,11 @@ def token_documents(
     """Rows (doc_id, label, split, tokens) with only the chosen token column derived."""
     docs = native_tokens(split_corpus(spark, folder, store, label, split))
     if token_col == "tokens_lemmatized":
+        # the dictionary is the vocabulary of the training split, as every other statistic
         everything = native_tokens(split_corpus(spark, folder, store, label))
+        known = distinct_tokens(everything.where("split = 'train'"), "tokens_lower")
         lemmas = store.table(
-            lambda: lemma_table(everything, "tokens_lower"), "lemmas", folder=folder, label=label)
+            lambda: lemma_table(everything, "tokens_lower", known), "lemmas", folder=folder, label=label)
         return lemmatize(docs, lemmas, name="tokens", keep=("label", "split"))
     tokens = F.col(token_col) if token_col != "tokens_stemmed" else tx.stem_tokens("tokens_lower")
     return docs.select("doc_id", "label", "split", tokens.alias("tokens"))

@@ -15,7 +15,7 @@ from lexicade.operators.models import feature_vectors
 from lexicade.operators.ranking import sorted_index
 from lexicade.operators.scoring import class_counts, keep_features, z_scores
 from lexicade.operators.vocabulary import (
-    MAX_DF, MIN_DF, known_term_counts, term_counts,
+    MAX_DF, MIN_DF, frequent_term_counts, frequent_words, known_term_counts,
 )
 from lexicade.operators.weighting import inverse_frequency, tfidf
 from lexicade.plans.corpus import (
@@ -74,13 +74,20 @@ def train_size(spark: SparkSession, src: Source, store: Store) -> int:
     return assignments(spark, src, store).where("split = 'train'").count()
 
 
+def unit_class_counts(spark: SparkSession, src: Source, store: Store) -> DataFrame:
+    """(term, df, c_pos, c_neg) of the kept units of the training split."""
+    n_train = F.lit(train_size(spark, src, store))
+    train = source_documents(spark, src, store, "train")
+    params = {**src.key(), "n_range": None, "max_df": None}
+    frequent = store.table(lambda: frequent_words(train, "tokens", src.min_df), "frequent", **params)
+    counts = frequent_term_counts(train, frequent, "tokens", src.n_range, ("doc_id", "label"))
+    return class_counts(counts, n_train, src.min_df, src.max_df)
+
+
 def unit_features(spark: SparkSession, src: Source, store: Store) -> DataFrame:
     """Stored (term, df, c_pos, c_neg, logodds, z), fitted on the training split."""
     def build() -> DataFrame:
-        n_train = F.lit(train_size(spark, src, store))
-        train = source_documents(spark, src, store, "train")
-        counts = term_counts(train, "tokens", src.n_range, ("doc_id", "label"))
-        return z_scores(class_counts(counts, n_train, src.min_df, src.max_df))
+        return z_scores(unit_class_counts(spark, src, store))
 
     return store.table(build, "unit_features", **src.key())
 
