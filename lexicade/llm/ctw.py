@@ -33,8 +33,8 @@ from lexicade.llm.ctw_tree import HALF, block_weights, log_kt, log_probability,
 from lexicade.llm.stage import Stage, partitions_for
 from lexicade.llm.textbytes import DARK, LOWER, U, WordHash, mix, text_bytes, word_spans
 
-DEPTH = 5
-CHUNK_BYTES = 24 << 20
+DEPTH = 6
+CHUNK_BYTES = 12 << 20
 MOST_SHARDS = 16_384
 TOP = 2  # context lengths below this one are shared by all shards
 _SLICE = 1 << 22
