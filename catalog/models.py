@@ -18,7 +18,7 @@ HARD = 0.05
 
 def _vectors(spark, folder, weighting="tfidf", z=2.0):
     rep = rp.load_representation(spark, rp.Source(folder), Store(spark), z=z)
-    return rp.vectors(rep, weighting).persist()
+    return rp.vectors(rep, weighting)
 
 
 def _fit_and_score(spark, folder, kind):

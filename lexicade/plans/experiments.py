@@ -101,25 +101,16 @@ def run_experiments(
 
     Returns stored predictions (experiment, model, split, doc_id, true_label,
     probability, elapsed_s) and the reasons of the runs that failed or were skipped
-    because fewer than two features remain. Count matrices and z-scores are shared
-    through the store.
+    because fewer than two features remain. Count matrices, z-scores and vectors are
+    shared through the store.
     """
     done: list[DataFrame] = []
     failed: dict[str, str] = {}
-    shared: dict[tuple, DataFrame] = {}
 
     def features(s: Spec) -> DataFrame | None:
-        at = (s.source, s.z, s.k, s.w, s.weighting)
-        if at not in shared:
-            for old in shared.values():  # specifications come grouped by features
-                old.unpersist()
-            shared.clear()
-            rep = load_representation(
-                spark, s.source, store, s.z, s.k, s.w, embed, encoder=encoder)
-            if rep.size < 2:
-                return None
-            shared[at] = vectors(rep, s.weighting).persist()
-        return shared[at]
+        rep = load_representation(
+            spark, s.source, store, s.z, s.k, s.w, embed, encoder=encoder)
+        return vectors(rep, s.weighting) if rep.size >= 2 else None
 
     for s in specs:
         try:
@@ -137,6 +128,4 @@ def run_experiments(
                 embed=encoder_key(embed, encoder) if s.k else None))
         except Exception as error:  # one bad configuration must not stop the series
             failed[s.name] = f"{type(error).__name__}: {error}"
-    for old in shared.values():
-        old.unpersist()
     return (reduce(DataFrame.unionByName, done) if done else None), failed

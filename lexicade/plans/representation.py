@@ -41,12 +41,17 @@ class Source:
 
 @dataclass(frozen=True)
 class Representation:
-    """Cells (doc_id, split, idx, df, cnt), documents and the number of features."""
+    """Cells (doc_id, split, idx, df, cnt), documents and the number of features.
+
+    ``store`` and ``key`` say where tables made from it are kept.
+    """
 
     docs: DataFrame
     cells: DataFrame
     size: int
     n_train: int
+    store: Store
+    key: dict[str, object]
 
 
 def source_documents(spark: SparkSession, src: Source, store: Store,
@@ -223,11 +228,11 @@ def load_representation(
         cells = join_per_key(counts, kept, "concept_id", "doc_id", "df")
     return Representation(
         docs, cells.select("doc_id", "split", "idx", "df", "cnt"), kept.count(),
-        train_size(spark, src, store))
+        train_size(spark, src, store), store, params)
 
 
 def vectors(rep: Representation, weighting: str = "tfidf") -> DataFrame:
-    """Rows (doc_id, label, split, features) with raw counts (bow) or TF-IDF."""
+    """Stored rows (doc_id, label, split, features, nnz) with raw counts (bow) or TF-IDF."""
     if weighting == "bow":
         cells = rep.cells.withColumn("value", F.col("cnt").cast("double"))
     elif weighting == "tfidf":
@@ -235,4 +240,5 @@ def vectors(rep: Representation, weighting: str = "tfidf") -> DataFrame:
         cells = tfidf(with_idf).withColumnRenamed("weight", "value")
     else:
         raise ValueError(f"unknown weighting: {weighting}")
-    return feature_vectors(rep.docs, cells, rep.size)
+    docs = rep.docs.select("doc_id", "label", "split")
+    return feature_vectors(docs, cells, rep.size, rep.store, weighting=weighting, **rep.key)

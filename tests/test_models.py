@@ -39,7 +39,7 @@ def test_vectors_and_zero_rows(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     cells = spark.createDataFrame([(1, 2, 0.5), (1, 0, 1.0)],
                                   "doc_id long, idx long, value double")
-    got = {r.doc_id: r.features for r in mo.feature_vectors(docs, cells, 4).collect()}
+    got = {r.doc_id: r.features for r in mo.feature_vectors(docs, cells, 4, Store(spark)).collect()}
     assert got[1] == Vectors.sparse(4, {0: 1.0, 2: 0.5}) and got[2].numNonzeros() == 0
 
 
