@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexicade.llm.ctw_tree import HALF, block_weights, log_kt, log_probability, path
 from lexicade.llm.stage import Stage, partitions_for
-from lexicade.llm.textbytes import DARK, LOWER, U, WordHash, mix, text_bytes, word_spans
+from lexicade.llm.textbytes import DARK, LOWER, U, WordHash, mix, release, text_bytes, word_spans
 
 DEPTH = 6
 CHUNK_BYTES = 12 << 20
@@ -186,6 +186,7 @@ def _collect(depth: int, shards: int):
         closing = int(train.sum())
         rows.append(("closing", 0, closing, b"", b""))
         kind, s, m, key, n = (list(x) for x in zip(*rows))
+        release()
         return pa.table({
             "kind": pa.array(kind), "shard": pa.array(s, pa.int32()),
             "chunk": pa.array([chunk] * len(rows), pa.int32()), "m": pa.array(m, pa.int64()),
@@ -373,6 +374,7 @@ def _score(depth: int, n_train: int, v_train: int, closing: int):
         here = real[code]
         known = np.bincount(text, weights=(of_word[code] > 0) & here, minlength=len(n)) + (closing > 0)
         base = np.bincount(text, weights=np.where(here, log(of_word)[code], 0.0), minlength=len(n)) + log(closing)
+        release()
         return _scored(texts["doc_id"], texts["held_out"], n, known.astype(np.int64), base, score, n_train, begin)
     return run
 

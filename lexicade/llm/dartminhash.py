@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lexicade.llm.components import components
 from lexicade.llm.stage import Stage
 from lexicade.llm.textbytes import (
-    LOWER, WORD, U, WordHash, blocks, mix, sequence_keys, shingles, word_spans,
+    LOWER, WORD, U, WordHash, blocks, mix, release, sequence_keys, shingles, word_spans,
 )
 
 BANDS, ROWS = 25, 5
@@ -156,6 +156,7 @@ def _sign(size: int, bands: int, rows: int):
                     [batch.column("doc_id").slice(a, b - a), batch.column("text_hash").slice(a, b - a),
                      _binary16(one, two), _lists(keys[some].ravel(), np.where(some, bands, 0))],
                     names=["doc_id", "text_hash", "node", "bands"])
+        release()
     return run
 
 
@@ -167,6 +168,7 @@ def _elements(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [_binary16(one, two), _lists(e, np.bincount(of, minlength=b - a))],
                     names=["node", "elements"])
+        release()
     return run
 
 

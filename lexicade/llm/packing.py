@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicade.llm.stage import Stage
+from lexicade.llm.textbytes import release
 from lexicade.llm.tokens import encoded
 
 CAPACITY = 1024
@@ -86,6 +87,7 @@ def _pieces(path: str, end: int, capacity: int, shards: int, with_ids: bool):
                 if with_ids:
                     columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            release()
     return run
 
 

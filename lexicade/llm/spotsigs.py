@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicade.llm.stage import partitions_for
-from lexicade.llm.textbytes import LOWER, WORD, U, WordHash, blocks, mix, sequence_keys, word_spans
+from lexicade.llm.textbytes import (
+    LOWER, WORD, U, WordHash, blocks, mix, release, sequence_keys, word_spans,
+)
 
 # fixed values: common words of English, German, French and Spanish
 ANCHORS = (
@@ -140,11 +142,12 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size > 1 << 22 and len(texts) > 1:
+            if size > 1 << 21 and len(texts) > 1:
                 yield _compared(ids, texts)
                 ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
     if len(texts) > 1:
         yield _compared(ids, texts)
+    release()
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,16 @@ DARK[32] = False
 DARK[9:14] = False
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (a bijection)."""
     x = x.astype(U, copy=True)
@@ -52,7 +62,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of blocks of bounded size."""
     data, offsets = text_bytes(column)
     for a, b in slices(np.diff(offsets), most):

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO = 800_000  # words remembered; beyond that the memory starts anew
-_BATCH = 1 << 23  # bytes of text handled at once
+_BATCH = 1 << 22  # bytes of text handled at once
 # between two words when many are encoded in one call; such a word itself is encoded alone
 _MARK = "\x01"
 

@@ -29,11 +29,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexicade.llm.textbytes import release
+
 SAMPLE = 20_000
 LEXICON = 5_000
 BEGINNINGS = (4, 5, 6)
@@ -57,6 +58,12 @@ def fold(text: str) -> str:
     return text.translate(_TABLE)
 
 
+def some(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The strings of a column, a few at a time."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
 def terms(text: str) -> set[str]:
     """Words as " word ", beginnings of longer words as " begin"."""
     found = set()
@@ -147,7 +154,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: of every term, in how many texts of each half and label it is."""
     for batch in batches:
         counts: dict[str, Counter] = {}
-        rows = zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(),
+        rows = zip(some(batch.column("text")), batch.column("half").to_pylist(),
                    batch.column("label").to_pylist())
         for text, half, label in rows:
             for t in terms(text or ""):
@@ -195,7 +202,7 @@ def learn(
         own = [m.automaton() for m in half]
         for batch in batches:
             found = [matched(t or "", own[1 - h]) for t, h in
-                     zip(batch.column("text").to_pylist(), batch.column("half").to_pylist())]
+                     zip(some(batch.column("text")), batch.column("half").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array([f[0] for f in found], pa.float64()),
                  pa.array([f[1] for f in found], pa.int64())], names=["label", "total", "n"])
@@ -212,15 +219,17 @@ def learn(
 
 def scores(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` with one more column: ``toxicity`` of their ``text``, from 0 to 1."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model.automaton()
         a, b, c = model.curve
-        out = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            u, v = features(*matched(t or "", own))
-            out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * u + c * v))))
-        return pd.Series(out)
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for i, t in enumerate(some(texts)):
+                u, v = features(*matched(t or "", own))
+                out[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * u + c * v))))
+            yield pa.array(out)
+        release()
 
     return rows.select("*", scored(F.col("text")).alias("toxicity"))
 
