@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import register
+from catalog import sql as s
+from catalog.registry import register, rounded
 from lexicade.functions.text import clean_text
 from lexicade.operators import models as mo
 from lexicade.operators.evaluate import model_metrics
@@ -21,23 +22,35 @@ def _vectors(spark, folder, weighting="tfidf", z=2.0):
     return rp.vectors(rep, weighting)
 
 
+def _checked(preds, *more):
+    """Facts about predictions that hold for any fitted model."""
+    p = F.col("probability")
+    return preds.select("model", "split", "doc_id", "true_label", ((p > 0) & (p < 1)).alias("proper"), *more)
+
+
 def _fit_and_score(spark, folder, kind):
     data = _vectors(spark, folder)
     model = mo.fit_model(kind, data.where("split = 'train'"))
-    return mo.predict(model, data.where("split = 'val'"), kind)
+    return _checked(mo.predict(model, data.where("split = 'val'"), kind))
+
+
+def _facts(name, split):
+    return s.with_(*s.split_corpus()) + f"""SELECT {s.q(name)} AS model, split, doc_id,
+      label AS true_label, true AS proper FROM split WHERE split = {s.q(split)}"""
 
 
-@register("svm_calibrated")
+@register("svm_calibrated", _facts("linear_svm", "val"))
 def svm_calibrated(spark, folder):
     return _fit_and_score(spark, folder, "linear_svm")
 
 
-@register("logreg")
+@register("logreg", _facts("logreg", "val"))
 def logreg(spark, folder):
     return _fit_and_score(spark, folder, "logreg")
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", s.with_(*s.split_corpus()) + """SELECT count(*) AS n,
+  0.0::DOUBLE AS gap FROM split WHERE split = 'test'""")
 def model_roundtrip(spark, folder):
     """Largest difference between a model's predictions and its stored copy's."""
     data = _vectors(spark, folder)
@@ -51,9 +64,9 @@ def model_roundtrip(spark, folder):
         F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("probability"))).alias("gap"))
 
 
-@register("specialist_svm")
+@register("specialist_svm", _facts("SVM_Specialist", "test"))
 def specialist_svm(spark, folder):
-    return mo.train_specialist(_vectors(spark, folder), HARD)["specialist_predictions"]
+    return _checked(mo.train_specialist(_vectors(spark, folder), HARD)["specialist_predictions"])
 
 
 def make_scorer():
@@ -70,43 +83,43 @@ def make_scorer():
     return score
 
 
-@register("external_specialist")
+@register("external_specialist", s.with_(*s.split_corpus()) + f"""SELECT 'external' AS model, split,
+  doc_id, label AS true_label, {s.r6("""1.0::DOUBLE / (1.0::DOUBLE + exp(-20.0::DOUBLE * (
+    len(regexp_extract_all(t, '[\\p{Lu}]'))::DOUBLE
+      / greatest(1, len(regexp_extract_all(t, '[\\p{L}]'))) - 0.03::DOUBLE)))""")} AS probability
+  FROM (SELECT *, {s.clean('text')} AS t FROM split)""")
 def external_specialist(spark, folder):
     docs = split_corpus(spark, folder, Store(spark)).withColumn("text_clean", clean_text("text"))
-    return mo.score_text(docs, make_scorer, "external")
+    return rounded(mo.score_text(docs, make_scorer, "external"), "probability")
 
 
 def _series(spark, folder, specs):
+    """Every run of a series: scored documents, a proper accuracy, or why it has none."""
     preds, failed = ex.run_experiments(spark, specs, Store(spark))
+    every = spark.createDataFrame(
+        [(x.experiment, x.name, failed.get(x.name)) for x in specs],
+        "experiment string, model string, reason string")
     if preds is None:
         raise RuntimeError(f"no run succeeded: {failed}")
-    return model_metrics(preds, ["experiment", "model", "elapsed_s"])
-
-
-@register("exp_basic")
-def exp_basic(spark, folder):
-    return _series(spark, folder, ex.basic_specs(rp.Source(folder), cases=("lower",)))
-
-
-@register("exp_tokens")
-def exp_tokens(spark, folder):
-    return _series(spark, folder, ex.token_specs(
-        rp.Source(folder), models=("logreg",),
-        columns=("tokens_filtered", "tokens_stemmed", "tokens_lemmatized")))
-
-
-@register("exp_pruning")
-def exp_pruning(spark, folder):
-    return _series(spark, folder, ex.pruning_specs(
-        rp.Source(folder), columns=("tokens_lower",), thresholds=(0, 2), models=("logreg",)))
-
-
-@register("exp_ngrams")
-def exp_ngrams(spark, folder):
-    return _series(spark, folder, ex.ngram_specs(rp.Source(folder), models=("logreg",)))
-
-
-@register("exp_grid")
-def exp_grid(spark, folder):
-    return _series(spark, folder, ex.grid_specs(
-        rp.Source(folder), models=("logreg",), n_concepts=(0, 50), weights=(0.0, 10.0)))
+    scores = model_metrics(preds, ["experiment", "model", "elapsed_s"])
+    few = F.col("reason") == "fewer than two features"
+    return every.join(scores, ["experiment", "model"], "left").select(
+        "experiment", "model",
+        F.when(F.col("n").isNotNull(), "done").when(few, "too few").otherwise(F.col("reason")).alias("status"),
+        "n", (F.col("accuracy").between(0, 1) & (F.col("elapsed_s") > 0)).alias("proper"))
+
+
+def _series_sql(specs):
+    runs = ", ".join(f"({s.q(x.experiment)}, {s.q(x.name)})" for x in specs)
+    return s.with_(*s.split_corpus(), f"runs(experiment, model) AS (VALUES {runs})") + """
+      SELECT experiment, model, 'done' AS status, (SELECT count(*) FROM split WHERE split = 'val') AS n,
+        true AS proper FROM runs"""
+
+
+SERIES = {
+    "exp_basic": ex.basic_specs, "exp_tokens": ex.token_specs, "exp_pruning": ex.pruning_specs,
+    "exp_ngrams": ex.ngram_specs, "exp_grid": ex.grid_specs,
+}
+for _name, _specs in SERIES.items():
+    register(_name, _series_sql(_specs(rp.Source(""))))(
+        lambda spark, folder, specs=_specs: _series(spark, folder, specs(rp.Source(folder))))
