@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicade.llm.components import components
-from lexicade.llm.stage import Stage
+from lexicade.llm.stage import NO_ID, Stage, keyed
 from lexicade.llm.textbytes import (
     LOWER, WORD, U, WordHash, blocks, mix, release, sequence_keys, shingles, word_spans,
 )
@@ -234,9 +234,9 @@ def near_duplicates(
 
     # the shingles of the texts that share a band with another
     wanted = bucket.select("node").distinct().join(nodes, "node").select(
-        "node", F.coalesce("rep.doc_id", F.lit(-(1 << 63))).alias("i"), F.col("rep.text_hash").alias("text_hash"))
+        "node", F.coalesce("rep.doc_id", F.lit(NO_ID)).alias("i"), F.col("rep.text_hash").alias("text_hash"))
     found = (
-        docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "text_hash", "text")
+        docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), "text_hash", "text")
         .join(wanted.select("i", "text_hash").hint("merge"), ["i", "text_hash"], "left_semi")
     )
     sets = stage.keep(
@@ -288,13 +288,10 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, stage: Stage, **options) -> DataFrame:
     """The rows of ``docs`` with one document of every class, all columns as they were."""
     keep = stage.keep(near_duplicates(docs, stage, **options), "decided").where("keep")
-    none = F.lit(-(1 << 63))
     keys = stage.keep(
-        keep.groupBy(F.coalesce("doc_id", none).alias("_i"), F.col("text_hash").alias("_h"))
+        keep.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("h"))
         .agg(F.count("*").alias("n")), "kept")
-    found = docs.withColumns({
-        "_i": F.coalesce("doc_id", none), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    found = found.join(keys.select("_i", "_h"), ["_i", "_h"], "left_semi")
+    found = keyed(docs).join(keys.select("i", "h").hint("merge"), ["i", "h"], "left_semi")
     if keys.where("n > 1").limit(1).count():  # rows that repeat exactly: one of them
-        found = found.dropDuplicates(["_i", "_h"])
-    return found.select(*docs.columns)
+        found = found.dropDuplicates(["i", "h"])
+    return found.select("doc.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicade.llm.stage import Stage
+from lexicade.llm.stage import NO_ID, Stage, keyed
 
 MOST_WINDOWS = 1_000_000
 MOST_ANCHORS = 20_000
@@ -122,38 +122,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int
         F.coalesce("items", none).alias("items"), "spans")
 
 
+def _bad(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int, *columns: str) -> DataFrame:
+    """Keys (i, h) of the documents that are hit, and chosen columns of theirs."""
+    found = contamination(docs, benchmark, stage, size).where("n_hit > 0").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("h"), *columns)
+    return stage.keep(found.dropDuplicates(["i", "h"]), "bad")
+
+
 def without_documents(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int = 10) -> DataFrame:
     """The rows of ``docs`` in which nothing is hit."""
-    none = F.lit(-(1 << 63))
-    bad = stage.keep(
-        contamination(docs, benchmark, stage, size).where("n_hit > 0")
-        .select(F.coalesce("doc_id", none).alias("_i"), F.col("text_hash").alias("_h")).distinct(), "bad")
-    rows = docs.withColumns({
-        "_i": F.coalesce("doc_id", none), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(bad, ["_i", "_h"], "left_anti").select(*docs.columns)
+    bad = _bad(docs, benchmark, stage, size)
+    return keyed(docs).join(bad.hint("merge"), ["i", "h"], "left_anti").select("doc.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int = 10) -> DataFrame:
     """All rows of ``docs``; the words of occurring windows are cut out of their texts."""
-    none = F.lit(-(1 << 63))
-    bad = stage.keep(
-        contamination(docs, benchmark, stage, size).where("n_hit > 0")
-        .select(F.coalesce("doc_id", none).alias("_i"), F.col("text_hash").alias("_h"),
-                F.col("spans").alias("_s")).dropDuplicates(["_i", "_h"]), "bad")
-    rows = docs.withColumns({
-        "_i": F.coalesce("doc_id", none), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    bad = _bad(docs, benchmark, stage, size, "spans")
+    rows = keyed(docs).join(bad.hint("merge"), ["i", "h"], "left")
     inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gaps = F.split("text", inside)  # one more than there are words
-    hit = F.array_distinct(F.flatten(F.transform("_s", lambda x: F.sequence(x["first"], x["last"]))))
-    rest = F.filter(F.transform(
-        _parts(F.col("text")), lambda w, i: F.when(~F.array_contains(hit, i + 1), F.struct(
-            w.alias("w"), F.element_at(gaps, i + 1).alias("gap")))), lambda x: x.isNotNull())
+    hit = F.flatten(F.transform("spans", lambda x: F.sequence(x["first"], x["last"])))
+    own = _parts(F.col("text"))
+    stay = F.array_except(F.sequence(F.lit(1), F.size(own)), hit)
     kept = F.concat(
-        F.array_join(F.transform(rest, lambda x: F.concat(x["gap"], x["w"])), ""),
+        F.array_join(F.transform(stay, lambda i: F.concat(F.element_at(gaps, i), F.element_at(own, i))), ""),
         F.element_at(gaps, -1))
-    out = rows.join(bad, ["_i", "_h"], "left")
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
+    return rows.select(*[
+        text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicade.llm.stage import Stage
+from lexicade.llm.stage import NO_ID, Stage, keyed
 
 WORDS = (40, 25, 10)
 _SENTENCE = r"(?:[^.!?\n]++|[.!?](?!\s|$))++(?:[.!?\n]\s*+)?|[.!?\n]\s*+"
@@ -71,20 +71,15 @@ def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS)
 
 def without_repeats(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS) -> DataFrame:
     """``docs`` with their texts freed of repeats, and the columns n_sentences and n_removed."""
-    none = F.lit(-(1 << 63))
     cuts = repeated(docs, stage, words).select(
-        F.coalesce("doc_id", none).alias("_i"), F.col("text_hash").alias("_h"), F.col("cut").alias("_cut"))
-    rows = docs.withColumns({
-        "_i": F.coalesce("doc_id", none), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = rows.join(cuts.hint("merge"), ["_i", "_h"], "left")
-    s = F.coalesce(sentences(F.col("text")), F.array().cast("array<string>"))
-    rows = rows.withColumn("_s", s)
-    out = F.flatten(F.transform("_cut", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
-    last = F.size("_s") - 1
-    stay = F.array_except(F.sequence(F.lit(0), last), out)
-    kept = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("_s"), i)), ""))
-    removed = F.when(F.col("_cut").isNull(), 0).otherwise(F.size(F.array_distinct(out)))
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("h"), "cut")
+    rows = keyed(docs).join(cuts.hint("merge"), ["i", "h"], "left").withColumn(
+        "s", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))
+    out = F.flatten(F.transform("cut", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("s") - 1), out)
+    kept = F.when(F.col("cut").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(F.col("s"), i)), ""))
+    removed = F.when(F.col("cut").isNull(), 0).otherwise(F.size(F.array_distinct(out)))
     return rows.select(
-        *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_s").cast("long").alias("n_sentences"), removed.cast("long").alias("n_removed"))
+        *[kept.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns],
+        F.size("s").cast("long").alias("n_sentences"), removed.cast("long").alias("n_removed"))
