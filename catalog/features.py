@@ -199,7 +199,7 @@ def _swept(col: str) -> list[str]:
     return s.token_docs(col)
 
 
-def _sweep_sql() -> str:
+def sweep_sql() -> str:
     parts = []
     for col in COLUMNS:
         parts.append("SELECT * FROM (" + s.with_(*_swept(col), s.term_counts(), s.FEATURES, s.Z) + f"""SELECT
@@ -212,7 +212,7 @@ def _sweep_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("zscore_sweep", _sweep_sql())
+@register("zscore_sweep", sweep_sql())
 def zscore_sweep(spark, folder):
     store = Store(spark)
     docs = all_tokens(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import sql as s
+from catalog.features import sweep_sql
 from catalog.registry import register, rounded
 from lexicade.functions.text import clean_text
 from lexicade.operators import models as mo
@@ -109,11 +110,18 @@ def _series(spark, folder, specs):
         "n", (F.col("accuracy").between(0, 1) & (F.col("elapsed_s") > 0)).alias("proper"))
 
 
-def _series_sql(specs):
-    runs = ", ".join(f"({s.q(x.experiment)}, {s.q(x.name)})" for x in specs)
-    return s.with_(*s.split_corpus(), f"runs(experiment, model) AS (VALUES {runs})") + """
-      SELECT experiment, model, 'done' AS status, (SELECT count(*) FROM split WHERE split = 'val') AS n,
-        true AS proper FROM runs"""
+def _series_sql(specs, kept=None):
+    """``kept``: SQL of (token_col, threshold, kept) for runs that may have too few features."""
+    runs = ", ".join(f"({s.q(x.experiment)}, {s.q(x.name)}, {s.q(x.source.token_col)}, "
+                     f"{'NULL' if x.z is None else x.z}::DOUBLE)" for x in specs)
+    kept = kept or "SELECT NULL::VARCHAR AS token_col, NULL::DOUBLE AS threshold, NULL::BIGINT AS kept"
+    return s.with_(*s.split_corpus(), f"runs(experiment, model, token_col, z) AS (VALUES {runs})",
+                   f"sizes AS ({kept})", """
+      rated AS (SELECT runs.*, coalesce(kept, 2) >= 2 AS enough FROM runs LEFT JOIN sizes
+        ON sizes.token_col = runs.token_col AND threshold = z)""") + """
+      SELECT experiment, model, CASE WHEN enough THEN 'done' ELSE 'too few' END AS status,
+        CASE WHEN enough THEN (SELECT count(*) FROM split WHERE split = 'val') END AS n,
+        CASE WHEN enough THEN true END AS proper FROM rated"""
 
 
 SERIES = {
@@ -121,5 +129,6 @@ SERIES = {
     "exp_ngrams": ex.ngram_specs, "exp_grid": ex.grid_specs,
 }
 for _name, _specs in SERIES.items():
-    register(_name, _series_sql(_specs(rp.Source(""))))(
+    _kept = sweep_sql() if _name == "exp_pruning" else None
+    register(_name, _series_sql(_specs(rp.Source("")), _kept))(
         lambda spark, folder, specs=_specs: _series(spark, folder, specs(rp.Source(folder))))

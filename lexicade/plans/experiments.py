@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from lexicade.plans.representation import Source, encoder_key, load_representati
 from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import TOKEN_COLUMNS
 
+# --- fixed values: the grids of the documented series -------------------------
 NGRAM_RANGES = ((1, 1), (1, 2), (1, 3))
 Z_THRESHOLDS = (0, 1, 2, 3, 4)
 N_CONCEPTS = (0, 500, 5000, 10000)
 WEIGHTS = (0.0, 1.0, 10.0)
+PARALLELISM = 4  # runs at a time
 
 
 @dataclass(frozen=True)
@@ -95,7 +98,7 @@ def grid_specs(src: Source, models: Sequence[str] = MODELS,
 
 def run_experiments(
     spark: SparkSession, specs: Iterable[Spec], store: Store, split: str = "val",
-    embed: Callable | None = None, encoder: str | None = None,
+    embed: Callable | None = None, encoder: str | None = None, parallelism: int = PARALLELISM,
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """Fit and score every specification.
 
@@ -104,28 +107,29 @@ def run_experiments(
     because fewer than two features remain. Count matrices, z-scores and vectors are
     shared through the store.
     """
-    done: list[DataFrame] = []
+    specs = list(specs)
     failed: dict[str, str] = {}
 
-    def features(s: Spec) -> DataFrame | None:
-        rep = load_representation(
-            spark, s.source, store, s.z, s.k, s.w, embed, encoder=encoder)
-        return vectors(rep, s.weighting) if rep.size >= 2 else None
-
-    for s in specs:
+    def run(s: Spec) -> DataFrame | None:
         try:
-            data = features(s)
-            if data is None:
+            rep = load_representation(
+                spark, s.source, store, s.z, s.k, s.w, embed, encoder=encoder)
+            if rep.size < 2:
                 failed[s.name] = "fewer than two features"
-                continue
+                return None
+            data = vectors(rep, s.weighting)
             start = time.perf_counter()
             model = fit_model(s.model, data.where("split = 'train'"))
             elapsed = time.perf_counter() - start
             rows = predict(model, data.where(F.col("split") == split), s.name).select(
                 F.lit(s.experiment).alias("experiment"), "*", F.lit(elapsed).alias("elapsed_s"))
-            done.append(store.table(
-                lambda rows=rows: rows, "predictions", spec=repr(s), split=split,
-                embed=encoder_key(embed, encoder) if s.k else None))
+            return store.table(
+                lambda: rows, "predictions", spec=repr(s), split=split,
+                embed=encoder_key(embed, encoder) if s.k else None)
         except Exception as error:  # one bad configuration must not stop the series
             failed[s.name] = f"{type(error).__name__}: {error}"
+            return None
+
+    with ThreadPool(max(1, parallelism)) as pool:  # runs are independent of each other
+        done = [rows for rows in pool.map(run, specs, chunksize=1) if rows is not None]
     return (reduce(DataFrame.unionByName, done) if done else None), failed

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -41,6 +42,15 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+        self._own = folder is None
+        self._guard = threading.Lock()
+        self._locks: dict[str, threading.RLock] = {}
+
+    def drop(self) -> None:
+        """Delete the tables of a store that was opened without a folder."""
+        if self._own:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def path(self, kind: str, /, **params: object) -> str:
         text = json.dumps(params, sort_keys=True, default=str)
@@ -51,13 +61,19 @@ class Store:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def table(self, build: Callable[[], DataFrame], kind: str, /, **params: object) -> DataFrame:
-        """Read the table, after building and writing it if it is missing."""
+        """Read the table, after building and writing it if it is missing.
+
+        Threads that ask for the same table wait for the one that builds it.
+        """
         path = self.path(kind, **params)
-        if self.exists(path):
-            return self.spark.read.parquet(path)
-        built = build()
-        built.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(built.schema).parquet(path)
+        with self._guard:
+            lock = self._locks.setdefault(path, threading.RLock())
+        with lock:
+            if self.exists(path):
+                return self.spark.read.parquet(path)
+            built = build()
+            built.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(built.schema).parquet(path)
 
 
 def save_best(best: DataFrame, path: str) -> None:
