@@ -3,8 +3,8 @@
 Folding lowers a text, maps look-alike letters of other scripts, digits and the signs @ and $
 inside words to the letters they stand for, and every punctuation mark to a space. The
 lexicon holds whole words and word beginnings, each with a weight: the log ratio of its
-document frequencies among toxic and other labelled texts, kept where the root of its
-log-likelihood ratio reaches ``LEAST_Z``. One automaton finds all entries and all exception phrases in one pass; a
+document frequencies among toxic and other labelled texts, kept where it is ``LEAST_Z``
+standard errors above zero. One automaton finds all entries and all exception phrases in one pass; a
 match inside an exception phrase does not count, of the matches that begin at one word
 the heaviest does, and a word that is repeated counts once. The matched weight, also normalised by the text's length, goes
 through a logistic curve.
@@ -39,7 +39,7 @@ SAMPLE = 20_000
 LEXICON = 5_000
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCS = 3
-LEAST_Z = 4.5
+LEAST_Z = 3.0
 # phrases in which a word of abuse is none
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "circus clown",
               "sore loser rule", "pond scum", "soap scum", "worthless currency")
@@ -118,19 +118,11 @@ def features(total: float, n: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100.0 * total / (n + 20.0))
 
 
-def _table(p, q, n_pos: int, n_neg: int):
-    """Observed and expected counts of texts with and without a term, by label."""
-    n = max(1, n_pos + n_neg)
-    return [(p, (p + q) * (n_pos / n)), (q, (p + q) * (n_neg / n)),
-            (n_pos - p, (n - p - q) * (n_pos / n)), (n_neg - q, (n - p - q) * (n_neg / n))]
-
-
 def _weights(positive: np.ndarray, negative: np.ndarray, n_pos: int, n_neg: int):
-    """Log ratio of the smoothed frequencies, and the root of the log-likelihood ratio."""
+    """Log ratio of the smoothed frequencies, and how many standard errors that is."""
     rate = np.log((positive + 0.5) / (n_pos + 1.0)) - np.log((negative + 0.5) / (n_neg + 1.0))
-    g = sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
-            for o, e in _table(positive, negative, n_pos, n_neg))
-    return rate, np.where(positive >= LEAST_DOCS, np.sqrt(np.maximum(2 * g, 0)), 0.0)
+    error = np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
+    return rate, np.where(positive >= LEAST_DOCS, rate / error, 0.0)
 
 
 def lexicon(names: list[str], positive, negative, n_pos: int, n_neg: int, most: int) -> dict[str, float]:
@@ -197,11 +189,11 @@ def learn(
     ).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")])
     p, q = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
     n_pos, n_neg = n[0, 1] + n[1, 1], n[0, 0] + n[1, 0]
-    g = sum((F.when(o > 0, o * F.log(o / e)).otherwise(0.0) for o, e in _table(p, q, n_pos, n_neg)), F.lit(0.0))
-    # entries that one half finds significant are among those of all with the greatest ratio
+    rate = F.log((p + 0.5) / (n_pos + 1)) - F.log((q + 0.5) / (n_neg + 1))
+    z = rate / F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
     rows = (
-        sums.where((p >= LEAST_DOCS) & (p * n_neg > q * n_pos)).select("*", g.alias("g"))
-        .orderBy(F.desc("g"), "term").limit(4 * most).collect()
+        sums.where(p >= LEAST_DOCS).select("*", z.alias("z"))
+        .where("z >= 1").orderBy(F.desc("z"), "term").limit(4 * most).collect()
     )
     names = [r.term for r in rows]
     c = {k: np.array([r[k] for r in rows], float) for k in ("n0", "p0", "n1", "p1")}
