@@ -12,7 +12,7 @@ from lexicade.sources.corpus import TOKEN_COLUMNS, load_corpus, load_documents
 # markup, typography and contractions, appended to every given text
 NOISE = (
     " I don't like it… <br />It’s “bad” — really, we’re  gonna <b class='x'>LEAVE</b> "
-    "`now`. Can't you see (they've said) „so“? DON'T − never"
+    "`now`. Can't you see (they've said) „so“? DON'T − never ‘don’t go’ 'it's' ''fine''"
 )
 
 MODELS = ("linear_svm", "logreg")

@@ -41,15 +41,25 @@ def clean(x: str) -> str:
 
 
 def expand(x: str) -> str:
+    """A listed word, also in quotes, becomes its long form with the same first capital."""
     cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in lx.CONTRACTIONS.items())
     bare = in_list(k for k in lx.CONTRACTIONS if "'" not in k)
-    return f"""array_to_string(list_transform(list_transform(
-        regexp_extract_all({x}, {q(tx.PIECE_PATTERN)}),
-        lambda p: {{'p': p, 'f': CASE WHEN contains(p, '''') OR lower(p) IN {bare}
-                    THEN CASE lower(p) {cases} END END}}),
-        lambda s: CASE WHEN s.f IS NULL THEN s.p
-                  WHEN left(s.p, 1) <> left(lower(s.p), 1)
-                  THEN upper(left(s.f, 1)) || substr(s.f, 2) ELSE s.f END), '')"""
+    quote = q("'")
+
+    def cased(word: str, form: str) -> str:
+        return (f"CASE WHEN left({word}, 1) <> left(lower({word}), 1) "
+                f"THEN upper(left({form}, 1)) || substr({form}, 2) ELSE {form} END")
+
+    return f"""array_to_string(list_transform(list_transform(list_transform(
+        regexp_extract_all({x}, {q("[" + chr(92) + "p{L}']+|[^" + chr(92) + "p{L}']+")}),
+        lambda p: {{'p': p, 'c': trim(p, {quote}), 'on': contains(p, {quote}) OR lower(p) IN {bare}}}),
+        lambda s: {{'s': s, 'f': CASE WHEN s.on THEN CASE lower(s.p) {cases} END END,
+                    'g': CASE WHEN s.on THEN CASE lower(s.c) {cases} END END}}),
+        lambda r: CASE WHEN r.f IS NOT NULL THEN {cased('r.s.p', 'r.f')}
+          WHEN r.g IS NOT NULL
+            THEN left(r.s.p, length(r.s.p) - length(ltrim(r.s.p, {quote}))) || {cased('r.s.c', 'r.g')}
+              || right(r.s.p, length(r.s.p) - length(rtrim(r.s.p, {quote})))
+          ELSE r.s.p END), '')"""
 
 
 def tokens(x: str) -> str:

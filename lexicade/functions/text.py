@@ -89,6 +89,7 @@ def expand_contractions(
 ) -> Column:
     """Expand contractions; the case of the first letter is kept.
 
+    A word is looked up as it stands, then without the quotes around it.
     Texts without an apostrophe pass through, and only words with one are looked
     up; a text with a listed word that has none is looked up word by word. ``text``
     is used several times, so it should be a column of its own.
@@ -96,12 +97,19 @@ def expand_contractions(
     t = _col(text)
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
-    def expanded(piece: Column) -> Column:
-        low = F.lower(piece)
+    def listed_form(word: Column) -> Column:
+        low = F.lower(word)
         found = F.try_element_at(lookup, low)
         raised = F.concat(F.upper(F.left(found, F.lit(1))), F.substr(found, F.lit(2)))
-        capital = F.left(piece, F.lit(1)) != F.left(low, F.lit(1))
-        return F.coalesce(F.when(capital, raised).otherwise(found), piece)
+        capital = F.left(word, F.lit(1)) != F.left(low, F.lit(1))
+        return F.when(capital, raised).otherwise(found)
+
+    def expanded(piece: Column) -> Column:
+        before, word, after = (
+            F.regexp_extract(piece, p, i) for p, i in (("^'*", 0), ("^'*(.*?)'*$", 1), ("'*$", 0)))
+        # null, and so passed over, where the word is not listed either
+        quoted = F.concat(before, listed_form(word), after)
+        return F.coalesce(listed_form(piece), quoted, piece)
 
     def by_piece(pattern: str, listed: Sequence[str]) -> Column:
         def one(piece: Column) -> Column:

@@ -55,3 +55,28 @@ def test_store_builds_once_and_keys_all_parameters(spark):
     assert store.table(lambda: build(4), "t", n=4).count() == 4
     assert built == [3, 4]
     assert store.path("t", w=0.2) != store.path("t", w=0.0)
+
+
+def test_runs_report_what_they_did(spark):
+    """A series with a run that has too few features, runs side by side."""
+    from dataclasses import replace
+
+    from lexicade.plans import experiments as ex
+    from lexicade.plans.representation import Source
+
+    src = Source("/root/testdata/sf0.001", min_df=5, n_range=(1, 1))
+    spec = ex.Spec("s", "plain", src, "logreg", "bow", 0.0)
+    specs = [spec, replace(spec, name="again", weighting="tfidf"), replace(spec, name="bare", z=99.0)]
+    preds, failed = ex.run_experiments(spark, specs, Store(spark), parallelism=3)
+    assert failed == {"bare": "fewer than two features"}
+    got = preds.groupBy("model").agg(F.count("*").alias("n"), F.min("elapsed_s").alias("t")).collect()
+    assert {r.model for r in got} == {"plain", "again"} and len({r.n for r in got}) == 1
+    assert all(r.t > 0 for r in got)
+
+
+def test_store_can_be_dropped(spark):
+    store = Store(spark)
+    store.table(lambda: spark.range(2), "t", n=2)
+    path = store.path("t", n=2)
+    store.drop()
+    assert not store.exists(path)

@@ -257,3 +257,95 @@ def test_concepts_keep_all_ids(spark):
                                    "doc_id long, label int, concept_id int, cnt long")
     got = {r.concept_id: (r.c_pos, r.c_neg) for r in co.concept_class_counts(counts, 4).collect()}
     assert got == {0: (4, 0), 1: (0, 0), 2: (0, 3), 3: (0, 0)}
+
+
+def _signs_of(word):
+    import hashlib
+
+    raw = hashlib.md5(word.encode()).hexdigest()
+    return [2 * ((int(raw[8 * (d // 32): 8 * (d // 32) + 8], 16) >> (d % 32)) & 1) - 1 for d in range(64)]
+
+
+def test_embeddings_keep_every_unit_at_any_core_count(spark):
+    docs = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],), ([],), (["z"],)], "tokens array<string>")
+    units = spark.createDataFrame([("a",), ("a b",), ("z",), ("",), ("nowhere",), ("b b",), ("b",)], "term string")
+    got = {r.term: r.embedding for r in co.embed_words(docs, units).collect()}
+    assert len(got) == 7 and all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values())
+    again = {r.term: r.embedding for r in co.embed_words(docs.repartition(7), units.repartition(3)).collect()}
+    assert again == got
+    # z is only ever near itself
+    assert got["z"] == pytest.approx([x / 8 for x in _signs_of("z")]) and got["b b"] == pytest.approx(got["b"])
+
+
+def test_word2vec_fails_loudly_without_a_vector(spark):
+    docs = spark.createDataFrame([(["a", "b"],)] * 3, "tokens array<string>")
+    units = spark.createDataFrame([("a",), ("unknown",)], "term string")
+    with pytest.raises(Exception, match="no vector for unit unknown"):
+        co.embed_word2vec(docs, units, size=4).collect()
+
+
+def test_concept_tables_depend_on_encoder_seed_and_lexicon(spark):
+    from lexicade.plans import representation as rp
+    from lexicade.sources.artifacts import Store
+
+    src, store = rp.Source("/root/testdata/sf0.001", min_df=8, n_range=(1, 1)), Store(spark)
+
+    def turned(n):
+        def embed(units, train):
+            made = co.embed_words(train, units)
+            return made.withColumn("embedding", F.transform("embedding", lambda x, i: x * F.pmod(i, F.lit(n))))
+        return embed
+
+    def maps(**options):
+        mapped, _ = rp.concept_map(spark, src, store, 5, 1.0, **options)
+        return {r.term: r.concept_id for r in mapped.collect()}
+
+    first, second = maps(embed=turned(2), encoder="two"), maps(embed=turned(3), encoder="three")
+    assert first.keys() == second.keys() and first != second
+    assert maps(embed=turned(3), encoder="two") == first  # the name is the key
+    with pytest.raises(ValueError, match="name the encoder"):
+        rp.concept_map(spark, src, store, 5, 1.0, embed=turned(2))
+    assert len({str(rp.concept_key(src, 5, 1.0, None, seed, None)) for seed in (1, 2)}) == 2
+
+
+@pytest.mark.parametrize("n_range, min_df", [((1, 3), 3), ((2, 2), 2), ((1, 1), 5)])
+def test_frequent_words_lose_no_frequent_ngram(spark, n_range, min_df):
+    rows = [(i, [RNG.choice(WORDS) for _ in range(RNG.randrange(0, 9))]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    words = vo.frequent_words(docs, "tokens", min_df)
+
+    def kept(counts):
+        per = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("cnt").alias("n"))
+        return {(r.term, r.df, r.n) for r in per.where(F.col("df") >= min_df).collect()}
+
+    assert kept(vo.frequent_term_counts(docs, words, "tokens", n_range)) == kept(
+        vo.term_counts(docs, "tokens", n_range))
+
+
+def test_only_ngrams_of_frequent_words_are_counted(spark):
+    docs = spark.createDataFrame([(i, ["a", f"rare{i}", "a"]) for i in range(50)], "doc_id long, tokens array<string>")
+    counts = vo.frequent_term_counts(docs, vo.frequent_words(docs, "tokens", 10), "tokens", (1, 3))
+    assert {r.term for r in counts.select("term").distinct().collect()} == {"a"}
+
+
+def test_uneven_thresholds_and_models_of_two_experiments(spark):
+    ps = (0.5, 0.52, 0.58, 0.7, 0.97, 0.03, 1.0, 0.0, 0.45, 0.61)
+    rows = [(e, "m", i, i % 2, p) for e in ("x", "y") for i, p in enumerate(ps)]
+    preds = spark.createDataFrame(
+        rows, "experiment string, model string, doc_id long, true_label int, probability double")
+    spec = preds.where("experiment = 'x'").select("doc_id", "true_label", "probability")
+    cs = [0.5, 0.52, 0.55, 0.6, 0.9, 1.0]
+    curve = ca.cascade_sweep(preds, spec, cs).collect()
+    assert len(curve) == 2 * len(cs)
+    for r in curve:
+        c = r.certainty_threshold
+        assert r.coverage == pytest.approx(sum(c < 1 and (p >= c or p <= 1 - c) for p in ps) / 10)
+    assert ev.align(preds, spec).count() == 20
+
+
+def test_every_cascade_has_its_documented_name(spark):
+    from lexicade.functions import naming
+
+    names = spark.createDataFrame([(n,) for n in ("SVM_Specialist", "BERT_Basic", "BERT_Specialist")], "m string")
+    made = names.select(naming.display_name(naming.cascade_name("m"), naming.CASCADE_DISPLAY).alias("d"))
+    assert {r.d for r in made.collect()} == {"Base + Spec. SVM", "Base + Basic BERT", "Base + Spec. BERT"}

@@ -130,3 +130,12 @@ def test_outcome_and_strict_label(spark):
     got = [r[0] for r in df.select(tx.outcome_label("p", "y")).collect()]
     assert got == ["False Negative", "Correctly Classified", "False Positive",
                    "Correctly Classified"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("'don't go' and 'it's fine'", "'do not go' and 'it is fine'"), ("''Can't''", "''Cannot''"),
+    ("rock 'n' roll", "rock 'n' roll"), ("'quoted'", "'quoted'"),
+])
+def test_contractions_in_quotes(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.expand_contractions("t").alias("x")).first().x == want
