@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 800_000  # words remembered; beyond that the memory starts anew
-_BATCH = 1 << 22  # bytes of text handled at once
+MEMO = 2_000_000  # words remembered; beyond that the memory starts anew
+_BATCH = 1 << 23  # bytes of text handled at once
 # between two words when many are encoded in one call; such a word itself is encoded alone
 _MARK = "\x01"
 
@@ -50,16 +50,23 @@ class WordIds:
         self.path, self.kind = path, _kind(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.ends = None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.kind == "spaced" and suffix:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # in the order of their ids
+        self.fresh: list[str] = []
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.edges = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
     def _store(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.place), len(words)
+        n, m = len(self.known) + len(self.fresh), len(words)
         while len(self.edges) < n + m + 1:
             self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
         while len(self.ids) < self.used + len(ids):
@@ -67,7 +74,7 @@ class WordIds:
         self.ids[self.used: self.used + len(ids)] = ids
         self.edges[n + 1: n + m + 1] = self.used + np.cumsum(lengths)
         self.used += len(ids)
-        self.place.update(zip(words, range(n, n + m)))
+        self.fresh += words
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
@@ -79,6 +86,10 @@ class WordIds:
                 self._learn_prefixed(plain)
                 plain = []
             odd, plain = odd + plain, []
+        elif self.ends is not None:
+            letters = [w for w in plain if w.isalpha()]
+            plain = [w for w in plain if not w.isalpha()]
+            odd += self._learn_letters(letters)
         for a in range(0, len(plain), 256):
             some = plain[a: a + 256]
             ids = np.array(encode([f" {_MARK} ".join(["", *some, ""])], add_special_tokens=False)[0].ids,
@@ -94,6 +105,20 @@ class WordIds:
             flat = np.array([i for f in found for i in f], dtype=np.uint32)
             self._store(some, flat, np.array([len(f) for f in found], dtype=np.int64))
 
+    def _learn_letters(self, words: list[str]) -> list[str]:
+        """Words of letters alone: each is one piece, whose last token says so. Returns the rest."""
+        rest = []
+        for a in range(0, len(words), 256):
+            some = words[a: a + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) != len(some):
+                rest += some
+                continue
+            self._store(some, ids, np.diff(np.r_[-1, at]))
+        return rest
+
     def _learn_prefixed(self, words: list[str]) -> None:
         """Words that begin with a space and hold no other: a token that begins with one begins a word."""
         encode = self.tokenizer.encode_batch_fast
@@ -133,12 +158,19 @@ class WordIds:
             words = pc.if_else(pa.array(first), words, pc.binary_join_element_wise(
                 pa.scalar("", words.type), words, pa.scalar(" ", words.type)))
         coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.place) + len(names) > MEMO:
+        names = coded.dictionary
+        if len(self.known) + len(names) > MEMO:
             self.clear()
-        known = self.place
-        self.learn([w for w in names if w not in known])
-        code = np.fromiter((known[w] for w in names), dtype=np.int64, count=len(names))
+        found = pc.index_in(names, value_set=self.known)
+        missing = names.filter(found.is_null())
+        code = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(missing):
+            before = len(self.known)
+            self.learn(missing.to_pylist())
+            fresh = pa.array(self.fresh, pa.large_string())
+            code[found.is_null().to_numpy(zero_copy_only=False)] = before + pc.index_in(
+                missing, value_set=fresh).to_numpy()
+            self.known, self.fresh = pa.concat_arrays([self.known, fresh]), []
         code = code[coded.indices.to_numpy()] if len(names) else code
         begin, size = self.edges[code], self.edges[code + 1] - self.edges[code]
         total = np.cumsum(size)
