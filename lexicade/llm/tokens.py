@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 2_000_000  # words remembered; beyond that the memory starts anew
-_BATCH = 1 << 23  # bytes of text handled at once
+from lexicade.llm.textbytes import release
+
+MEMO = 800_000  # words remembered; beyond that the memory starts anew
+_BATCH = 1 << 22  # bytes of text handled at once
 # between two words when many are encoded in one call; such a word itself is encoded alone
 _MARK = "\x01"
 
@@ -219,18 +221,17 @@ def encoded(batch: pa.RecordBatch, path: str, end: int) -> Iterator[tuple[int, i
     """(first row, row after the last, ids, counts) of parts of a batch; ``end`` closes each text."""
     memory = word_ids(path)
     column = batch.column("text")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
     block = (np.cumsum(sizes) - 1).clip(0) // _BATCH
     edges = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(sizes)]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if a == b:
             continue
-        ids, counts = memory.of(column.slice(a, b - a))
+        ids, counts = memory.of(column.slice(a, b - a).cast(pa.large_string()))
         out = np.full(len(ids) + len(counts), end, dtype=np.uint32)
         mark = np.cumsum(counts + 1) - 1
         body = np.ones(len(out), dtype=bool)
         body[mark] = False
         out[body] = ids
         yield a, b, out, counts + 1
+    release()
