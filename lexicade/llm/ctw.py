@@ -34,7 +34,7 @@ from lexicade.llm.stage import Stage, partitions_for
 from lexicade.llm.textbytes import DARK, LOWER, U, WordHash, mix, release, text_bytes, word_spans
 
 DEPTH = 6
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 MOST_SHARDS = 16_384
 TOP = 2  # context lengths below this one are shared by all shards
 _SLICE = 1 << 22
@@ -148,16 +148,26 @@ def _unpress(x: bytes) -> bytes:
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    """Whole numbers that ascend, or are small, pressed."""
-    return _press(np.diff(x.astype(np.int64), prepend=np.int64(0)).astype("<i8").tobytes())
+    """Ascending whole numbers: their steps, byte by byte, pressed."""
+    steps = np.diff(x.astype(np.int64), prepend=np.int64(0)).astype("<i8")
+    return _press(_by_byte(steps))
 
 
 def _from_numbers(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(_unpress(x), dtype="<i8"))
+    return np.cumsum(_from_plain(x, "<i8"))
 
 
 def _plain(x: np.ndarray, kind: str) -> bytes:
-    return _press(x.astype(kind).tobytes())
+    return _press(_by_byte(x.astype(kind)))
+
+
+def _by_byte(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_plain(x: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(_unpress(x), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 def _shard_of(context: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -203,7 +213,7 @@ def _token_hash(names: pa.Array) -> np.ndarray:
 def _shard_rows(table: pa.Table):
     """All chunks' rows of a shard: distinct keys, their summed counts, and each chunk's own keys."""
     own = [_from_numbers(k).astype(U) for k in table["keys"].to_pylist()]
-    counts = [np.frombuffer(_unpress(c), dtype="<i8") for c in table["counts"].to_pylist()]
+    counts = [_from_plain(c, "<i8") for c in table["counts"].to_pylist()]
     key, n = _merged(list(zip(own, counts)))
     return key, n, own
 
@@ -277,7 +287,7 @@ def _answer_contexts(depth: int, top: dict):
 def _answer_tokens(table: pa.Table) -> pa.Table:
     """Per shard, for every chunk: the training counts of its own tokens; and the shard's totals."""
     own = [_split_tokens(k) for k in table["keys"].to_pylist()]
-    counts = [np.frombuffer(_unpress(c), dtype="<i8") for c in table["counts"].to_pylist()]
+    counts = [_from_plain(c, "<i8") for c in table["counts"].to_pylist()]
     words = pa.concat_arrays(own).dictionary_encode()
     code = words.indices.to_numpy()
     total = np.bincount(code, weights=np.concatenate(counts), minlength=len(words.dictionary)).astype(np.int64)
@@ -351,10 +361,10 @@ def _score(depth: int, n_train: int, v_train: int, closing: int):
                               answers["answers"].to_pylist()):
             if kind == "context":
                 key.append(_from_numbers(k).astype(U))
-                value.append(np.frombuffer(_unpress(a), dtype="<f4").astype(np.float64))
+                value.append(_from_plain(a, "<f4").astype(np.float64))
             else:
                 names.append(_split_tokens(k))
-                counts.append(np.frombuffer(_unpress(a), dtype="<i8"))
+                counts.append(_from_plain(a, "<i8"))
         out, begin, n = sequence(texts["text"])
         find = _Lookup(np.concatenate(key), np.concatenate(value))
         score = np.zeros(len(n))
