@@ -186,9 +186,26 @@ def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     inner = rows.mapInArrow(_run, OUT)
     edge = rows.mapInArrow(_edges, "part int, first string, doc_id long, text string")
-    # one row per part
-    around = Window.orderBy("part")
+    return inner.union(_across(edge).mapInArrow(_pairs, OUT))
+
+
+def _across(edge: DataFrame) -> DataFrame:
+    """(doc_id, text, following): the last row of every part with the first text of the next.
+
+    A part's last row and the next part's first text meet in one slot. The very last row, and
+    rows before an empty part, find none there; only those are put in one window.
+    """
+    none = F.lit(None)
+    ends = F.array(
+        F.struct(F.col("part").alias("slot"), F.lit(True).alias("last"), "doc_id", "text",
+                 none.cast("string").alias("following")),
+        F.struct((F.col("part") - 1).alias("slot"), F.lit(False).alias("last"), none.cast("long").alias("doc_id"),
+                 none.cast("string").alias("text"), F.col("first").alias("following")))
+    slots = edge.select(F.explode(ends).alias("x")).select("x.*").groupBy("slot").agg(
+        *[F.max(c).alias(c) for c in ("last", "doc_id", "text", "following")])
+    met = F.when(F.col("last") & F.col("following").isNotNull(), F.col("slot"))
+    around = Window.partitionBy(met).orderBy("slot")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("first").over(around), F.first("first").over(whole))
-    outer = edge.select("doc_id", "text", following.alias("following")).mapInArrow(_pairs, OUT)
-    return inner.union(outer)
+    following = F.coalesce("following", F.lead("following").over(around),
+                           F.first("following", ignorenulls=True).over(whole))
+    return slots.select("doc_id", "text", "last", following.alias("following")).where("last")

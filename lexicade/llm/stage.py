@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lexicade.sources.artifacts import Store, shared_folder
 
-
-
 NO_ID = -(1 << 63)
 
 
