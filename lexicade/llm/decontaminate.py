@@ -6,9 +6,9 @@ without words has none. A document word inside any occurrence of a window is hit
 
 The windows' own texts are the keys of the broadcast set, so a found key is a verified hit.
 The set is broadcast up to ``MOST_WINDOWS`` windows, a larger one is joined by a shuffle.
-Documents are screened first: a window's longest word must be in a document that holds the
-window, so only documents with one of those words build their own windows. The screen
-compares in upper case, which keeps a superset; it never decides a hit.
+Documents are screened first: a window's longest pair of neighbouring words must be in a
+document that holds the window, so only documents with one of those pairs build their own
+windows. The screen compares in upper case, which keeps a superset; it never decides a hit.
 
 Defined cases: a null or wordless text has no words and no hits; repeated rows are judged
 row by row; a null doc_id is kept; items with equal windows all count; with an empty
@@ -63,10 +63,17 @@ def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
+def _pairs(w: Column) -> Column:
+    """Every word with the one after it; the last word alone."""
+    return F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
+                      lambda x, y: F.concat_ws(" ", x, y))
+
+
 def _anchors(windows: DataFrame) -> list[str] | None:
-    """The longest word of each window, in upper case; None if there are too many."""
+    """The longest pair of each window, or its one word, in upper case; None if there are too many."""
     w = F.split("window", " ")
-    longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    pairs = F.slice(_pairs(w), F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
+    longest = F.array_max(F.transform(pairs, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
     found = windows.select(F.upper(longest).alias("x")).distinct().limit(MOST_ANCHORS + 1).collect()
     return None if len(found) > MOST_ANCHORS else [r.x for r in found]
 
@@ -98,7 +105,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int
     if anchors is None:
         may = F.lit(True)
     elif anchors:
-        may = F.arrays_overlap("u", F.array(*map(F.lit, anchors)))
+        alone = [a for a in anchors if " " not in a]
+        both = [a for a in anchors if " " in a]
+        may = F.lit(False)
+        if both:
+            may = may | F.arrays_overlap(_pairs(F.col("u")), F.array(*map(F.lit, both)))
+        if alone:
+            may = may | F.arrays_overlap("u", F.array(*map(F.lit, alone)))
     else:
         may = F.lit(False)
     rows = stage.keep(rows.select(
