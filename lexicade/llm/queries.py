@@ -102,7 +102,7 @@ def op5_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
 def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the sentences of non-first repeated spans."""
     docs = documents(spark, folder).select("doc_id", "text")
-    return spans.without_repeats(docs, Stage(spark))
+    return spans.without_repeats(docs, Stage(spark), every=True)
 
 
 @_query()

@@ -2,11 +2,16 @@
 
 A sentence ends at . ! or ? before white space or the end, or at a line break; white space
 after it belongs to it, so that a text is the concatenation of its sentences. They compare
-lowered, with white space collapsed. From every sentence begins one span: the shortest of
-three sentences with at least ``words[2]`` words, two with ``words[1]``, one with ``words[0]``.
-Which it is depends on the sentences alone, so equal passages have equal spans. All spans
-are joined globally; the first occurrence of a span, by doc_id and place, stays, and the
-sentences that any other occurrence covers are removed.
+lowered, with white space collapsed. Spans are single sentences with at least ``words[0]``
+words, pairs with ``words[1]``, and runs of three or more with ``words[2]`` that would have
+fewer without their first or without their last sentence, or be fewer than three. Which they
+are depends on the sentences alone, so equal passages have equal spans, and the spans of a
+passage that meets one of the three bounds cover all its sentences. A sentence counts one word at
+least, so a run has at most max(3, ``words[2]``) sentences. These are all spans, which ``every``
+asks for; without it a sentence begins one only, the shortest of at most three sentences, and
+ends of repeated passages and passages of short lines can stay. All spans are joined globally;
+the first occurrence of a span, by doc_id and place, stays, and the sentences that any other
+occurrence covers are removed.
 
 Spans are compared by a 64-bit hash and their number of characters. Occurrences are counted
 with map-side combining and joined to the repeated spans only, so a passage that a third of all
@@ -41,24 +46,41 @@ def _facts(s: Column) -> Column:
     return F.transform(s, of)
 
 
-def _spans(facts: Column, words: tuple[int, int, int]) -> Column:
-    def of(x: Column, i: Column) -> Column:
-        y, z = F.get(facts, i + 1), F.get(facts, i + 2)
-        two, three = x["w"] + y["w"], x["w"] + y["w"] + z["w"]
-        n = F.when(x["w"] >= words[0], 1).when(two >= words[1], 2).when(three >= words[2], 3)
-        key = F.when(n == 1, x["h"]).when(n == 2, F.xxhash64(x["h"], y["h"])).when(
-            n == 3, F.xxhash64(x["h"], y["h"], z["h"]))
-        size = F.when(n == 1, x["c"]).when(n == 2, x["c"] + y["c"]).otherwise(x["c"] + y["c"] + z["c"])
-        return F.struct(key.alias("key"), size.alias("size"), i.alias("at"), n.alias("n"))
-
-    return F.filter(F.transform(facts, of), lambda x: x["n"].isNotNull())
+def _spans(facts: Column, words: tuple[int, int, int], every: bool) -> Column:
+    """Structs (key, size, at, n) of all spans, or of the shortest of at most three sentences from each."""
+    longest = max(3, words[2])
 
+    def total(name: str, i: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(facts, i + 1, n), F.lit(0), lambda s, x: s + x[name])
 
-def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS) -> DataFrame:
+    def of(x: Column, i: Column) -> Column:
+        y, z, v = (F.get(facts, i + k) for k in (1, 2, 3))
+        three = x["w"] + y["w"] + z["w"]
+        n = F.array_compact(F.array(
+            F.when(x["w"] >= words[0], 1), F.when(x["w"] + y["w"] >= words[1], 2), F.when(three >= words[2], 3)))
+        if not every:
+            n = F.slice(n, 1, 1)
+        elif longest > 3:
+            more = F.filter(
+                F.sequence(F.lit(4), F.lit(longest)),
+                lambda n: (i + n <= F.size(facts)) & (total("w", i, n) >= words[2])
+                & ((total("w", i, n - 1) < words[2]) | (total("w", i + 1, n - 1) < words[2])))
+            # elsewhere the run of three, or one within any longer run, has the words
+            few = (three < words[2]) | (y["w"] + z["w"] + v["w"] < words[2])
+            n = F.when(few, F.concat(n, more)).otherwise(n)
+        return F.transform(n, lambda n: F.struct(
+            F.xxhash64(F.transform(F.slice(facts, i + 1, n), lambda s: s["h"])).alias("key"),
+            total("c", i, n).alias("size"), i.alias("at"), n.alias("n")))
+
+    return F.flatten(F.transform(facts, of))
+
+
+def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS,
+             every: bool = False) -> DataFrame:
     """(doc_id, text_hash, cut): the (at, n) runs of sentences to remove, of the documents that have any."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _facts(sentences(text)).alias("facts"))
-    rows = rows.select("doc_id", "text_hash", F.explode(_spans(F.col("facts"), words)).alias("x"))
+    rows = rows.select("doc_id", "text_hash", F.explode(_spans(F.col("facts"), words, every)).alias("x"))
     seen = stage.keep(rows.select("x.key", "x.size", "doc_id", "text_hash", "x.at", "x.n"), "spans")
     place = F.struct("doc_id", "text_hash", "at")
     more = stage.keep(
@@ -69,9 +91,10 @@ def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS)
         again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("cut")), "cuts")
 
 
-def without_repeats(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS,
+                    every: bool = False) -> DataFrame:
     """``docs`` with their texts freed of repeats, and the columns n_sentences and n_removed."""
-    cuts = repeated(docs, stage, words).select(
+    cuts = repeated(docs, stage, words, every).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("h"), "cut")
     rows = keyed(docs).join(cuts.hint("merge"), ["i", "h"], "left").withColumn(
         "s", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))

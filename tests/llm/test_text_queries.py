@@ -154,6 +154,31 @@ def test_spans_on_repeated_rows_and_empty_tables(spark, corpus, rows, empty):
     assert spans.without_repeats(empty, Stage(spark)).count() == 0
 
 
+def _removed(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeats(df, Stage(spark), every=True).collect()}
+
+
+def sized(tag, *words):
+    return "".join(" ".join(f"{tag}{k}_{j}" for j in range(n)) + ". " for k, n in enumerate(words))
+
+
+@pytest.mark.parametrize("words", [(38, 9, 4), (45, 3), (3,) * 20, (1,) * 12, (9, *(1,) * 6), (2, 1, 1, 9, 1, 1)])
+def test_repeated_passages_go_to_their_last_sentence(spark, words):
+    passage, n = sized("p", *words), len(words)
+    texts = [sized("a", 6) + passage + sized("b", 5), sized("c", 1) + passage + sized("d", 30, 4), passage]
+    assert _removed(spark, texts) == {
+        0: (texts[0], 0), 1: (sized("c", 1) + sized("d", 30, 4), n), 2: ("", n)}
+
+
+def test_short_lines_and_passages_below_the_bounds(spark):
+    verse = "".join(f"line {i}\n" for i in range(30))
+    unspaced = "".join(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}\n" for i in range(12))
+    small = "only four words here. and five more of them.\n"
+    got = _removed(spark, ["x. " + verse + unspaced, "y! " + verse + "z. " + unspaced, small + "e", small + "f"])
+    assert got[1] == ("y! z. ", 42) and got[2] == (small + "e", 0) and got[3] == (small + "f", 0)
+
+
 # ------------------------------------------------------------ fingerprints ----
 def signature_set(text):
     w = [x.translate(LOW) for x in re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", text)]
