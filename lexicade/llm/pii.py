@@ -10,8 +10,10 @@ patterns: the two words before it, the word on either side, the two words after
 and instances form a graph, scored in rounds: a pattern's confidence for a kind is the share
 of its different instances that are of the kind, weighted by their own confidence, and it
 needs ``support`` of them; an open instance's confidence is 1 - prod(1 - confidence) over its
-patterns. After the rounds, occurrences of open instances in confident patterns are found
-spans. Only distinct (pattern, instance) pairs are counted, so copies of a text add nothing.
+patterns. A pattern needs no seed: instances found in one round support the patterns of the
+next. There are at least ``rounds`` rounds, and more until one adds no pattern. After the
+rounds, occurrences of open instances in confident patterns are found spans. Only distinct
+(pattern, instance) pairs are counted, so copies of a text add nothing.
 
 Defined cases: a null text is empty and has no span; rows that repeat are judged row by row;
 overlapping spans of different kinds are all reported, and masked together; no
@@ -28,7 +30,7 @@ from lexicade.llm.stage import Stage
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3.0  # summed confidence of a pattern's instances of the kind
 CONFIDENT = 0.8
-ROUNDS = 3
+ROUNDS = 3  # at least
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -147,17 +149,16 @@ def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUND
     seen = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
     seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns").where(
         F.length("pattern") > 3)
-    seeded = seen.where("kind is not null").select("pattern").distinct()
-    edges = stage.keep(
-        seen.select("pattern", "instance", "kind").distinct().join(seeded, "pattern", "left_semi"),
-        "pii_edges")
+    edges = stage.keep(seen.select("pattern", "instance", "kind").distinct(), "pii_edges")
+    # a pattern of fewer instances never has the support, whatever is found
     totals = stage.keep(
         edges.select("pattern", "instance").distinct().groupBy("pattern").agg(
             F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pii_totals")
+    edges = stage.keep(edges.join(totals, "pattern", "left_semi"), "pii_graph")
     seeds = edges.where("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("conf"))
     open_ = edges.where("kind is null").select("pattern", "instance")
-    known = seeds
-    for r in range(rounds):
+    known, r, before, now = seeds, 0, None, None
+    while r < rounds or now != before:
         weight = known.groupBy("pattern", "kind").agg(F.sum("conf").alias("w")).where(F.col("w") >= SUPPORT)
         score = stage.keep(
             weight.join(totals, "pattern").select("pattern", "kind", (F.col("w") / F.col("n")).alias("conf"))
@@ -166,6 +167,9 @@ def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUND
             (1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("conf"))
         known = stage.keep(seeds.union(
             open_.join(found, "instance").select("pattern", "instance", "kind", "conf")), f"pii_known{r}")
+        # confidences only rise, so equal counts are equal sets
+        before, now = now, score.agg(F.count("*"), F.count_if(F.col("conf") >= CONFIDENT)).first()
+        r += 1
     best = F.max(F.struct("conf", "kind"))
     added = (
         seen.where("kind is null").select("row", "start", "end", "pattern")

@@ -66,6 +66,23 @@ def test_contexts_of_seeds_find_other_identifiers(spark, stage):
     assert got[0].count(":") == 2
 
 
+def _found(spark, stage, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.s for r in pii.extract(df, stage, ["doc_id"]).select(
+        "doc.doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+
+
+def test_patterns_without_seeds_are_learnt_over_many_rounds(spark, stage):
+    """Each context is reached through the identifiers that the one before gave away."""
+    texts = [f"{a} mail is user{i}{end}" for a in ("my", "her") for end, n in (("@mail.example", 96), ("x0", 48))
+             for i in range(n)]
+    for k, c in enumerate("abcd"):
+        texts += [f"{c}{c} {a}{c} user{i}x{j}" for a in ("login", "name") for j, n in ((k, 48 >> k), (k + 1, 24 >> k))
+                  for i in range(n)]
+    got = _found(spark, stage, texts)
+    assert all(got[i] == f"email:{t.index('user')}:{len(t)}" for i, t in enumerate(texts))
+
+
 def test_masking_keeps_rows_and_columns(corpus, rows, stage):
     out = pii.mask(corpus, stage)
     assert out.columns == corpus.columns
