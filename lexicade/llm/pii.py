@@ -5,15 +5,17 @@ numbers (10 to 15 digits), leftmost and without overlap per kind; a match that f
 check is dropped. The expressions are written with guards and possessive quantifiers that
 change no match but keep the time linear in the text.
 
-Every other token with a digit or @ is an open instance. An occurrence has three lexical
+Outside the seeds, every token with a digit or @ is an open instance, and neighbouring
+tokens of digits, dots and dashes with at most three spaces and brackets between them are one;
+dots and dashes at its ends are not compared. An occurrence has three lexical
 patterns: the two words before it, the word on either side, the two words after it. Patterns
 and instances form a graph, scored in rounds: a pattern's confidence for a kind is the share
 of its different instances that are of the kind, weighted by their own confidence, and it
 needs ``support`` of them; an open instance's confidence is 1 - prod(1 - confidence) over its
 patterns. A pattern needs no seed: instances found in one round support the patterns of the
 next. There are at least ``rounds`` rounds, and more until one adds no pattern. After the
-rounds, occurrences of open instances in confident patterns are found spans. Only distinct
-(pattern, instance) pairs are counted, so copies of a text add nothing.
+rounds, every occurrence of a confident open instance is a found span, whatever its
+context. Only distinct (pattern, instance) pairs are counted, so copies of a text add nothing.
 
 Defined cases: a null text is empty and has no span; rows that repeat are judged row by row;
 overlapping spans of different kinds are all reported, and masked together; no
@@ -39,7 +41,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TOKEN = "A-Za-z0-9@._%+-"
-OPEN = rf"(?<![{_TOKEN}])(?=[{_TOKEN}]*?[0-9@])[{_TOKEN}]++"
+# a token of digits, dots and dashes, and such tokens after it
+_NUMBER = rf"(?<![{_TOKEN}])[.+-]*+[0-9][0-9.+-]*+(?![{_TOKEN}])"
+OPEN = (rf"(?:(?<![{_TOKEN}])\((?=[0-9.+-]++\)))?+{_NUMBER}(?:[\x20()]{{1,3}}+{_NUMBER})*+"
+        rf"|(?<![{_TOKEN}])(?=[{_TOKEN}]*?[0-9@])[{_TOKEN}]++")
 _NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "open": "[0-9@]"}
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -109,6 +114,19 @@ def count_of(found: str, kind: str) -> Column:
     return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
 
 
+def _without(text: Column, found: Column) -> Column:
+    """The text with line breaks in place of spans, as long as before."""
+    def add(s: Column, x: Column) -> Column:
+        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        blank = F.repeat(F.lit("\n"), F.greatest(x["end"] - F.greatest(s["at"], x["start"]), F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap, blank).alias("out"))
+
+    blanked = F.aggregate(
+        found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(found) == 0, text).otherwise(blanked)
+
+
 def _occurrence(text: Column):
     """(start, end, kind or null, instance, its three patterns) of a span."""
     def of(x: Column) -> Column:
@@ -119,6 +137,8 @@ def _occurrence(text: Column):
         after = F.split(F.trim(F.lower(F.regexp_replace(
             F.substring(text, x["end"] + 1, F.lit(near)), r"\s+", " "))), " ")
 
+        m = F.substring(text, x["start"] + 1, x["end"] - x["start"])
+
         def word(a: Column, i: int) -> Column:
             return F.coalesce(F.try_element_at(a, F.lit(i)), F.lit(""))
 
@@ -129,7 +149,7 @@ def _occurrence(text: Column):
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"),
             F.when(x["rank"] < len(KINDS), x["kind"]).alias("kind"),
-            F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("instance"),
+            F.when(x["rank"] < len(KINDS), m).otherwise(F.btrim(m, F.lit(".-"))).alias("instance"),
             patterns.alias("patterns"))
     return of
 
@@ -139,15 +159,15 @@ def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUND
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), text.alias("text"))
     rows = rows.select("doc", "text", base_spans(F.col("text")).alias("base"))
-    alone = F.filter(spans(F.col("text"), "open"), lambda x: ~F.exists(
-        "base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    rows = rows.select("*", _without(F.col("text"), F.col("base")).alias("rest"))
+    alone = spans(F.col("rest"), "open")
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"), "doc", "base",
         F.transform(F.concat("base", alone), _occurrence(F.col("text"))).alias("seen"))
     rows = stage.keep(rows, "pii_rows")
 
-    seen = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
-    seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns").where(
+    places = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
+    seen = places.withColumn("pattern", F.explode("patterns")).drop("patterns").where(
         F.length("pattern") > 3)
     edges = stage.keep(seen.select("pattern", "instance", "kind").distinct(), "pii_edges")
     # a pattern of fewer instances never has the support, whatever is found
@@ -163,19 +183,16 @@ def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUND
         score = stage.keep(
             weight.join(totals, "pattern").select("pattern", "kind", (F.col("w") / F.col("n")).alias("conf"))
             .where(F.col("conf") >= 0.5), f"pii_patterns{r}")
-        found = open_.join(score, "pattern").groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("conf"))
-        known = stage.keep(seeds.union(
-            open_.join(found, "instance").select("pattern", "instance", "kind", "conf")), f"pii_known{r}")
+        found = stage.keep(open_.join(score, "pattern").groupBy("instance", "kind").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("conf")), f"pii_found{r}")
+        known = seeds.union(open_.join(found, "instance").select("pattern", "instance", "kind", "conf"))
         # confidences only rise, so equal counts are equal sets
         before, now = now, score.agg(F.count("*"), F.count_if(F.col("conf") >= CONFIDENT)).first()
         r += 1
     best = F.max(F.struct("conf", "kind"))
-    added = (
-        seen.where("kind is null").select("row", "start", "end", "pattern")
-        .join(score.where(F.col("conf") >= CONFIDENT), "pattern")
-        .groupBy("row", "start", "end").agg(best.alias("b"))
-    )
+    # an instance of a confident pattern is confident too, but for rounding
+    sure = found.where(F.col("conf") >= CONFIDENT - 1e-9).groupBy("instance").agg(best.alias("b"))
+    added = places.where("kind is null").select("row", "start", "end", "instance").join(sure, "instance")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).cast("int") - 1
     added = stage.keep(added.groupBy("row").agg(F.collect_list(F.struct(
         "start", rank.alias("rank"), F.col("b.kind").alias("kind"), "end")).alias("added")), "pii_added")

@@ -83,6 +83,34 @@ def test_patterns_without_seeds_are_learnt_over_many_rounds(spark, stage):
     assert all(got[i] == f"email:{t.index('user')}:{len(t)}" for i, t in enumerate(texts))
 
 
+def test_found_identifiers_are_found_in_any_context(spark, stage):
+    texts = [f"my mail is user{i}@mail.example thanks" for i in range(20)] + [
+        "my mail is user9x7 thanks", "nothing tells of user9x7.", "nor of (user9x7) or user9x70"]
+    got = _found(spark, stage, texts)
+    assert got[20] == "email:11:18" and got[21] == "email:17:25" and got[22] == "email:8:15"
+
+
+def test_numbers_in_groups_are_found_whole(spark, stage):
+    numbers = ["(523) 555-1055", "0171 555 1234", "4539 1488 0343 6468", "0171.555.1234", "(0171) (555) 12-34."]
+    texts = [f"call me at +1 (974) 555-{i} now please" for i in range(3000, 3040)] + [
+        f"call me at {n} now please" for n in numbers]
+    got = _found(spark, stage, texts)
+    for i, n in enumerate(numbers):
+        assert got[40 + i] == f"phone:11:{11 + len(n)}", n
+
+
+def test_open_instances_keep_every_token_outside_seeds(spark):
+    tokens = re.compile(r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z0-9@._%+-]*[0-9@])[A-Za-z0-9@._%+-]+")
+    texts = [t for t in HARD if len(t) < 20_000] + [
+        "a1 22 33b 44-55 (6) 7", "4539148803436467 12 555", "12 34-a 5", "x@y 1\n2", "-1- 2 .. 3", "((1) 2)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").withColumn(
+        "base", pii.base_spans(F.col("t")))
+    for r in df.withColumn("open", pii.spans(pii._without(F.col("t"), F.col("base")), "open")).collect():
+        covered = {k for x in [*r.base, *r.open] for k in range(x.start, x.end)}
+        assert all(set(range(*m.span())) <= covered for m in tokens.finditer(r.t)
+                   if not any(b.start < m.end() and m.start() < b.end for b in r.base)), r.t
+
+
 def test_masking_keeps_rows_and_columns(corpus, rows, stage):
     out = pii.mask(corpus, stage)
     assert out.columns == corpus.columns
