@@ -7,11 +7,13 @@ lengths from 0 to ``depth``.
 
 Texts are dealt to chunks of about ``chunk_bytes``. A chunk lists its distinct (context, byte)
 rows and distinct tokens with their counts in training texts, packed by shard: contexts by a
-hash of their two nearest bytes, tokens by their own. A shard sums the counts of all chunks
-and answers each chunk for its own rows. The levels below two bytes, which all shards share,
-are one small table (at most 1 + 256 contexts of 255 nodes). So nothing that grows with the
-corpus is ever in one place: a chunk's task holds its texts and its own rows, a shard's task
-its share of the rows, and the shards grow in number with the chunks.
+hash of their three nearest bytes, tokens by their own. A shard sums the counts of all chunks
+and answers each chunk for its own rows. The nodes of two bytes are summed over the shards by
+Spark, and each shard gets those of its own contexts; the levels below, which all shards share,
+are one small table (at most 1 + 256 contexts of 255 nodes). A chunk's task holds its texts and
+its own rows, a shard's task its share of the rows, and the shards grow in number with the
+chunks; but the rows that agree in three nearest bytes are in one shard, and texts that
+repeat under one doc_id in one chunk, however many they are.
 
 Defined cases: a null or empty text is the line feed alone, one token; rows that repeat are
 scored alike and learnt from as often as they occur; a null doc_id counts as the text "null";
@@ -36,7 +38,7 @@ from lexicade.llm.textbytes import DARK, LOWER, U, WordHash, mix, release, text_
 DEPTH = 6
 CHUNK_BYTES = 16 << 20
 MOST_SHARDS = 16_384
-TOP = 2  # context lengths below this one are shared by all shards
+TOP = 3  # shards are dealt by so many nearest bytes; their trees begin there
 _SLICE = 1 << 22
 
 
@@ -171,7 +173,7 @@ def _from_plain(x: bytes, kind: str) -> np.ndarray:
 
 
 def _shard_of(context: np.ndarray, depth: int, shards: int) -> np.ndarray:
-    near = context >> U(8 * (depth - 1))  # the two nearest bytes
+    near = context >> U(8 * (depth - TOP) + 8)  # the nearest bytes
     return (mix(near + U(1)) % U(shards)).astype(np.int64)
 
 
@@ -219,26 +221,39 @@ def _shard_rows(table: pa.Table):
 
 
 def _levels(depth: int):
-    """Per shard: the nodes of context length TOP with their counts and weighted probability."""
+    """Per shard: the nodes of two bytes, with the sums of the shard's own nodes of three below them."""
     def run(table: pa.Table) -> pa.Table:
         key, n, _ = _shard_rows(table)
         levels, logs = block_weights(key, n, depth, TOP)
-        context = key >> U(8 * (depth - TOP) + 8)
+        pair = key >> U(8 * (depth - TOP + 1) + 8)
         rows = []
         for step in range(8):
             node, _, a, b = levels[TOP].steps[step]
             first = np.unique(node, return_index=True)[1]
-            prefix = (key[first] & U(255)) >> U(8 - step)
-            seen = a + b > 0
-            rows.append((np.full(len(a), step)[seen], context[first][seen], prefix[seen], a[seen], b[seen],
-                         logs[TOP][step][seen]))
+            # nodes that training has not seen stay, as they ask for the one above
+            above, at = np.unique((pair[first] << U(8)) | ((key[first] & U(255)) >> U(8 - step)), return_inverse=True)
+            rows.append((np.full(len(above), step), above >> U(8), above & U(255),
+                         *[np.bincount(at, weights=x, minlength=len(above)) for x in (a, b, logs[TOP][step])]))
         step, context, prefix, a, b, log = (np.concatenate(x) for x in zip(*rows))
         return pa.table({
+            "shard": pa.array(np.full(len(step), table["shard"][0].as_py(), dtype=np.int32)),
             "step": pa.array(step.astype(np.int32)), "context": pa.array(context.astype(np.int32)),
             "prefix": pa.array(prefix.astype(np.int32)), "a": a, "b": b, "log": log})
     return run
 
 
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with the sums of those below: their weighted probability, P(one) and weight of staying."""
+    for batch in batches:
+        a, b, below = (batch.column(c).to_numpy() for c in ("a", "b", "log"))
+        kt = log_kt(a, b)
+        log = np.logaddexp(HALF + kt, HALF + below)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("step", "context", "prefix", "a", "b")],
+             *map(pa.array, (log, (b + 0.5) / (a + b + 1), np.exp(HALF + kt - log)))],
+            names=["step", "context", "prefix", "a", "b", "log", "q", "stay"])
+
+
 def _top(nodes: DataFrame) -> dict[tuple[int, int, int, int], tuple[float, float]]:
     """{(context length, step, context, prefix): (P(one), weight of staying)} for lengths 0 and 1.
 
@@ -263,13 +278,24 @@ def _top(nodes: DataFrame) -> dict[tuple[int, int, int, int], tuple[float, float
 
 def _answer_contexts(depth: int, top: dict):
     """Per shard, for every chunk: log10 P(byte) of its own rows, in their order."""
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, pairs: pa.Table) -> pa.Table:
         key, n, own = _shard_rows(table)
         levels, logs = block_weights(key, n, depth, TOP)
+        of_step, context, prefix, q2, stay2 = (
+            pairs[c].to_numpy() for c in ("step", "context", "prefix", "q", "stay"))
+        name2 = (context.astype(U) << U(8)) | prefix.astype(U)
         steps = path(levels, logs, depth, TOP)
         mixed = []
         for step, (bit, p) in enumerate(steps):
             prefix = (key & U(255)) >> U(8 - step)
+            here = np.flatnonzero(of_step == step)
+            here = here[np.argsort(name2[here])]
+            if len(here):
+                node = ((key >> U(8 * (depth - 2) + 8)) << U(8)) | prefix
+                at = here[np.minimum(np.searchsorted(name2[here], node), len(here) - 1)]
+                known = name2[at] == node
+                mixed2 = np.where(np.isnan(p), q2[at], stay2[at] * q2[at] + (1 - stay2[at]) * p)
+                p = np.where(known, mixed2, p)
             for d in (1, 0):
                 context = key >> U(8 * (depth - d) + 8)
                 node, at = np.unique((context << U(8)) | prefix, return_inverse=True)
@@ -422,9 +448,16 @@ def score(docs: DataFrame, stage: Stage, depth: int = DEPTH, chunk_bytes: int =
         _collect(depth, shards), "kind string, shard int, chunk int, m long, keys binary, counts binary"), "packed")
     context = packed.where("kind = 'context'").repartition(shards, "shard")
     nodes = stage.keep(context.groupBy("shard").applyInArrow(
-        _levels(depth), "step int, context int, prefix int, a double, b double, log double"), "nodes")
-    top = _top(nodes)
-    stage.keep(context.groupBy("shard").applyInArrow(_answer_contexts(depth, top), _ANSWER), "context_answers")
+        _levels(depth), "shard int, step int, context int, prefix int, a double, b double, log double"), "nodes")
+    name = ["step", "context", "prefix"]
+    pairs = stage.keep(
+        nodes.groupBy(name).agg(*[F.sum(c).alias(c) for c in ("a", "b", "log")]).where("a + b > 0").mapInArrow(
+            _weighted, "step int, context int, prefix int, a double, b double, log double, q double, stay double"),
+        "pairs")
+    top = _top(pairs)
+    asked = nodes.select("shard", *name).join(pairs.select(*name, "q", "stay"), name)
+    stage.keep(context.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(
+        _answer_contexts(depth, top), _ANSWER), "context_answers")
     counted = stage.keep(packed.where("kind = 'token'").repartition(shards, "shard").groupBy("shard").applyInArrow(
         _answer_tokens, _ANSWER), "token_answers")
     totals = counted.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()

@@ -338,3 +338,13 @@ def test_contexts_reach_across_tokens(spark, stage):
 
 def test_code_lengths_of_an_empty_table(empty, stage):
     assert ctw.score(empty, stage).count() == 0
+
+
+def test_rows_of_two_equal_bytes_spread_over_shards():
+    """What follows one pair of bytes goes to many shards; three equal bytes decide."""
+    third = np.arange(256, dtype=np.uint64)
+    for depth in (4, 6):
+        key = (np.uint64(0x6572) << np.uint64(8 * depth - 8)) | (third << np.uint64(8 * depth - 16))
+        shard = ctw._shard_of(key, depth, 64)
+        assert len(set(shard.tolist())) > 32
+        assert (shard == ctw._shard_of(key | np.uint64(0xFFFF), depth, 64)).all()
