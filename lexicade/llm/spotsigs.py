@@ -4,8 +4,9 @@ Words are runs of digits, letters and everything outside ASCII, A-Z lowered. At
 word (an anchor, a fixed list in four languages) begins a signature: the anchor and the chain
 of the next ``chain`` words that are not common. A text's fingerprint is the set of its
 signatures, as sorted 32-bit numbers; a text without any has one signature of all its words,
-one without words one of its bytes. Two fingerprints compare by Jaccard similarity. A pair
-whose set sizes alone keep it below a bound is not intersected (length pruning).
+one without words one of its bytes. Two fingerprints compare by Jaccard similarity. ``jaccard``
+can leave out pairs whose set sizes alone keep them below a bound; the query sets none, and
+compares a text with its edit and its neighbour only: there is no search for similar texts.
 
 Defined cases: a null text is empty; equal texts have equal fingerprints; rows of one doc_id
 follow the hash of their text, null doc_ids come first; the document after the last is the
