@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicade.llm import (
-    ctw, dartminhash, decontaminate, hashtree, packing, pii, planes, spans, spotsigs, toxicity,
+    ctw, dartminhash, decontaminate, hashtree, maxscore, merkle, packing, pii, planes, spans, spotsigs, toxicity,
+    variants,
 )
 from lexicade.llm.stage import Stage, documents
 
@@ -115,3 +116,22 @@ def op6_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 def op3_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document, learnt outside the held-out fifth."""
     return ctw.score(documents(spark, folder), Stage(spark))
+
+
+@_query(maxscore.ORACLE)
+def op11_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best vectors for every fiftieth one."""
+    found = maxscore.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), Stage(spark))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+@_query(merkle.ORACLE)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and check against the root."""
+    return merkle.manifest(documents(spark, folder), Stage(spark))
+
+
+@_query(variants.ORACLE)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with its near words, its form and the end of its forms."""
+    return variants.variants(documents(spark, folder), Stage(spark))
