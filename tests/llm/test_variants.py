@@ -82,7 +82,7 @@ def test_few_letters_and_chains(spark, most):
     rng = random.Random(4)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(7, 10))) for _ in range(120)})
     texts = [" ".join(w for w in words for _ in range(rng.choice((1, 2, 3, 30)))) for _ in range(3)]
-    chain = [w for x in "klmnop" for w in [f"chain{x}abc"] * 2 + [f"chain{x}abcd"] * 25 + [f"chain{x}abce"] * 260]
+    chain = [w for x in "klmnop" for w in [f"chain{x}abc"] * 2 + [f"chain{x}abcd"] * 25 + [f"chain{x}abzd"] * 260]
     rows = [(i, t) for i, t in enumerate([*texts, " ".join(chain)])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = found(df, spark, most=most)
