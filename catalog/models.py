@@ -8,12 +8,13 @@ from catalog import sql as s
 from catalog.features import sweep_sql
 from catalog.registry import register, rounded
 from lexicade.functions.text import clean_text
+from lexicade.operators import linear
 from lexicade.operators import models as mo
 from lexicade.operators.evaluate import model_metrics
 from lexicade.plans import experiments as ex
 from lexicade.plans import representation as rp
 from lexicade.plans.corpus import split_corpus
-from lexicade.sources.artifacts import Store, load_model, save_model
+from lexicade.sources.artifacts import Store
 
 HARD = 0.05
 
@@ -57,10 +58,10 @@ def model_roundtrip(spark, folder):
     data = _vectors(spark, folder)
     model = mo.fit_model("logreg", data.where("split = 'train'"))
     path = Store(spark).path("model", folder=folder)
-    save_model(model, path)
+    mo.save_model(spark, model, path)
     held = data.where("split = 'test'")
     before = mo.predict(model, held, "before").select("doc_id", F.col("probability").alias("p"))
-    after = mo.predict(load_model(path), held, "after")
+    after = mo.predict(mo.load_model(spark, path), held, "after")
     return after.join(before, "doc_id").agg(
         F.count("*").alias("n"), F.max(F.abs(F.col("p") - F.col("probability"))).alias("gap"))
 
@@ -102,12 +103,13 @@ def _series(spark, folder, specs):
         "experiment string, model string, reason string")
     if preds is None:
         raise RuntimeError(f"no run succeeded: {failed}")
-    scores = model_metrics(preds, ["experiment", "model", "elapsed_s"])
+    scores = model_metrics(preds, ["experiment", "model", "elapsed_s", "gradient"])
     few = F.col("reason") == "fewer than two features"
     return every.join(scores, ["experiment", "model"], "left").select(
         "experiment", "model",
         F.when(F.col("n").isNotNull(), "done").when(few, "too few").otherwise(F.col("reason")).alias("status"),
-        "n", (F.col("accuracy").between(0, 1) & (F.col("elapsed_s") > 0)).alias("proper"))
+        "n", (F.col("accuracy").between(0, 1) & (F.col("elapsed_s") > 0)
+              & (F.col("gradient") <= linear.TOL)).alias("proper"))
 
 
 def _series_sql(specs, kept=None):

@@ -189,6 +189,27 @@ def concept_features(scored_counts: DataFrame, k: int) -> DataFrame:
     return z_scores(oc.concept_class_counts(scored_counts, k))
 
 
+def concept_matrix(
+    spark: SparkSession, src: Source, store: Store, k: int, w: float, embed: Callable | None = None,
+    seed: int = oc.SEED, encoder: str | None = None, valences: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Stored counts (doc_id, label, split, concept_id, cnt), (concept_id, df, z, ...) of all concepts, their number."""
+    shape = concept_key(src, k, w, embed, seed, encoder, valences)
+    mapped, centroids = concept_map(spark, src, store, k, w, embed, seed, encoder, valences)
+    n_concepts = centroids.count()
+    matrix = unit_matrix(spark, src, store).drop("df")
+    counts = store.table(
+        lambda: oc.concept_counts(matrix, mapped, ("doc_id", "label", "split")), "concept_matrix", **shape)
+
+    def scored() -> DataFrame:
+        train = counts.where("split = 'train'")
+        df = train.groupBy("concept_id").agg(F.count("*").alias("df"))
+        return concept_features(train, n_concepts).join(df, "concept_id", "left").withColumn(
+            "df", F.coalesce("df", F.lit(0)))
+
+    return counts, store.table(scored, "concept_features", **shape), n_concepts
+
+
 def load_representation(
     spark: SparkSession, src: Source, store: Store, z: float | None = 2.0, k: int = 0,
     w: float = 0.0, embed: Callable | None = None, seed: int = oc.SEED,
@@ -208,21 +229,13 @@ def load_representation(
         kept = store.table(chosen, "kept_units", **params)
         cells = join_per_key(matrix.drop("df"), kept, "term", "doc_id", "df")
     else:
-        mapped, centroids = concept_map(spark, src, store, k, w, embed, seed, encoder, valences)
-        n_concepts = centroids.count()
-        counts = store.table(
-            lambda: oc.concept_counts(matrix.drop("df"), mapped, ("doc_id", "label", "split")),
-            "concept_matrix", **shape)
+        counts, scored, _ = concept_matrix(spark, src, store, k, w, embed, seed, encoder, valences)
 
         def chosen() -> DataFrame:
-            train = counts.where("split = 'train'")
-            scored = concept_features(train, n_concepts)
             kept = keep_features(scored, z) if z is not None else scored
-            df = train.groupBy("concept_id").agg(F.count("*").alias("df"))
             # at most k rows
             idx = F.row_number().over(Window.orderBy("concept_id")) - 1
-            return kept.join(df, "concept_id", "left").select(
-                "concept_id", F.coalesce("df", F.lit(0)).alias("df"), idx.alias("idx"))
+            return kept.select("concept_id", "df", idx.alias("idx"))
 
         kept = store.table(chosen, "kept_concepts", **params)
         cells = join_per_key(counts, kept, "concept_id", "doc_id", "df")

@@ -1,4 +1,4 @@
-"""Stored intermediate tables and models, keyed by all their parameters."""
+"""Stored intermediate tables, keyed by all their parameters."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
@@ -79,11 +78,3 @@ class Store:
 def save_best(best: DataFrame, path: str) -> None:
     """The best configuration: one nested row as JSON."""
     best.write.mode("overwrite").json(path)
-
-
-def save_model(model: Transformer, path: str) -> None:
-    PipelineModel([model]).write().overwrite().save(path)
-
-
-def load_model(path: str) -> Transformer:
-    return PipelineModel.load(path).stages[0]

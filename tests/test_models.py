@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexicade.operators import corpus as oc
 from lexicade.operators import models as mo
-from lexicade.sources.artifacts import Store, load_model, save_model
+from lexicade.sources.artifacts import Store
 
 
 @pytest.fixture(scope="module")
@@ -29,17 +29,19 @@ def test_model_learns_and_survives_storage(spark, data, kind):
                      F.count("*")).first()
     assert row[0] > 0.8 and 0 < row[1] < 0.5 < row[2] < 1 and row[3] == held.count()
     path = Store(spark).path("model", kind=kind)
-    if kind == "logreg":
-        save_model(model, path)
-        again = mo.predict(load_model(path), held, kind)
-        assert again.exceptAll(scored).isEmpty()
+    mo.save_model(spark, model, path)
+    again = mo.predict(mo.load_model(spark, path), held, kind)
+    assert again.exceptAll(scored).isEmpty()
 
 
 def test_vectors_and_zero_rows(spark):
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     cells = spark.createDataFrame([(1, 2, 0.5), (1, 0, 1.0)],
                                   "doc_id long, idx long, value double")
-    got = {r.doc_id: r.features for r in mo.feature_vectors(docs, cells, 4, Store(spark)).collect()}
+    store = Store(spark)
+    stored = mo.feature_vectors(docs, cells, 4, store, n=1)
+    vectors = mo.as_ml_vectors(spark, store.path("features", size=4, n=1), stored.schema)
+    got = {r.doc_id: r.features for r in vectors.collect()}
     assert got[1] == Vectors.sparse(4, {0: 1.0, 2: 0.5}) and got[2].numNonzeros() == 0
 
 

@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from tests.compare import compare, duck
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-# full grids of fitted models; the runner itself is tested in test_models
-LONG = ("exp_basic", "exp_tokens", "exp_pruning", "exp_grid")
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def _own(name):
     return not (name.startswith("op") and name[2].isdigit()) and name != "pipeline"
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in LONG and _own(n)])
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if _own(n)])
 def test_query_matches_sql(spark, con, name):
     for folder in (SMALL, LARGER):  # the larger one where the small one gives no row
         problem, _, _ = compare(spark, con[folder], folder, entry.queries()[name], entry.oracle_sql()[name])
