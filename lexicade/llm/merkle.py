@@ -14,7 +14,7 @@ suffix that waits at its label and sends each child that suffix behind the child
 proof is never stored for a leaf, only taken up into its digests.
 
 Leaves are numbered by ranges of (group, id) with a bounded number of rows, so no group is
-ever in one task; a block is at most 32,768 leaves.
+ever in one task; a block is at most 4,096 leaves.
 
 Defined cases: a null column enters a leaf as ``-``; the null group comes first; null ids come first in their
 group, rows of one id follow their digests, equal rows each have a place; a null id is not tampered with;
@@ -36,7 +36,7 @@ from lexicade.llm.sql import CRC_TABLE, UPPER, crc32_sql
 from lexicade.llm.stage import Stage
 
 ARITY = 8
-LEVELS = 5
+LEVELS = 4
 PER_PART = 20_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 NODES = "g string, n long, block long, level int, idx long, last long, digest string, children array<string>"
