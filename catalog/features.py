@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import sql as s
@@ -20,7 +24,8 @@ COLUMNS = TOKEN_COLUMNS
 
 
 def _counts(spark, src, store, split=None):
-    docs = rp.source_documents(spark, src, store, split)
+    # counted by document without a further shuffle
+    docs = rp.source_documents(spark, src, store, split).repartition("doc_id")
     return vo.term_counts(docs, "tokens", src.n_range, ("doc_id", "label", "split"))
 
 
@@ -33,7 +38,7 @@ def _class_counts(spark, src, store):
 
 
 def _scored(spark, folder, store, **options):
-    return sc.z_scores(_class_counts(spark, rp.Source(folder, **options), store))
+    return rp.unit_features(spark, rp.Source(folder, **options), store)
 
 
 # ----------------------------------------------------------------- corpus ----
@@ -110,9 +115,7 @@ def term_counts(spark, folder):
           "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df FROM feats")
 def vocabulary(spark, folder):
     src, store = rp.Source(folder), Store(spark)
-    vocab = store.table(
-        lambda: _class_counts(spark, src, store).select("term", "df"), "vocabulary", **src.key())
-    return vo.indexed_vocabulary(vocab)
+    return vo.indexed_vocabulary(_class_counts(spark, src, store).select("term", "df"))
 
 
 @register("count_matrix", s.with_(*s.features()) + """SELECT c.doc_id, c.label, c.split, c.term,
@@ -215,20 +218,14 @@ def sweep_sql() -> str:
 @register("zscore_sweep", sweep_sql())
 def zscore_sweep(spark, folder):
     store = Store(spark)
-    docs = all_tokens(
-        split_corpus(spark, folder, store, split="train"), store, folder=folder, split="train")
-    variants = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("token_col"), F.col(c).alias("tokens")) for c in COLUMNS]))
-    long = docs.select("doc_id", "label", variants.alias("_v")).select("doc_id", "label", "_v.*")
-    by = ["token_col"]
-    frequent = store.table(
-        lambda: vo.frequent_words(long, "tokens", by=by), "frequent", folder=folder)
-    counts = vo.frequent_term_counts(
-        long, frequent, "tokens", (1, 3), ("doc_id", "label", "token_col"), by)
-    n_train = F.lit(rp.train_size(spark, rp.Source(folder), store))
-    kept = store.table(
-        lambda: sc.class_counts(counts, n_train, by=by), "class_counts", folder=folder)
-    return sc.threshold_sweep(sc.z_scores(kept, by=by), by=by)
+    rp.prepared_corpus(spark, folder, store)
+
+    def swept(col):
+        scored = rp.unit_features(spark, rp.Source(folder, token_col=col), store)
+        return sc.threshold_sweep(scored.withColumn("token_col", F.lit(col)), by=["token_col"])
+
+    with ThreadPool(3) as pool:  # the columns are independent of each other
+        return reduce(DataFrame.unionByName, pool.map(swept, COLUMNS, chunksize=1))
 
 
 def _depth_sql() -> str:
@@ -242,8 +239,7 @@ def _depth_sql() -> str:
 @register("ngram_depth", _depth_sql())
 def ngram_depth(spark, folder):
     src, store = rp.Source(folder), Store(spark)
-    kept = store.table(lambda: _class_counts(spark, src, store), "class_counts", **src.key())
-    return sc.ngram_depth(kept)
+    return sc.ngram_depth(_class_counts(spark, src, store))
 
 
 @register("top_features", s.with_(*s.z_features()) + f"""SELECT "class", rank, term,

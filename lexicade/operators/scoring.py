@@ -23,13 +23,14 @@ def class_counts(
     max_df: float = MAX_DF,
     by: Sequence[str] = (),
     label: str = "label",
+    unit: str = "term",
 ) -> DataFrame:
     """Rows (by..., term, df, c_pos, c_neg) of the terms within the limits.
 
     One aggregate yields the document frequency and both class counts.
     """
     one = F.col(label) == 1
-    per_term = counts.groupBy(*by, "term").agg(
+    per_term = counts.groupBy(*by, unit).agg(
         F.count("*").alias("df"),
         F.sum(F.when(one, F.col("cnt")).otherwise(F.lit(0))).alias("c_pos"),
         F.sum(F.when(one, F.lit(0)).otherwise(F.col("cnt"))).alias("c_neg"),

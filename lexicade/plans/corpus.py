@@ -9,6 +9,7 @@ from lexicade.functions import text as tx
 from lexicade.operators.corpus import (
     SEED, SPLIT_ENDS, first_of_digest, stratified_split, text_digest,
 )
+from lexicade.operators.joins import BROADCAST_ROWS
 from lexicade.operators.lemmas import distinct_tokens, lemma_table, lemmatize
 from lexicade.sources.artifacts import Store
 from lexicade.sources.corpus import load_corpus, load_documents
@@ -38,44 +39,67 @@ def split_assignments(
 
 def split_corpus(
     spark: SparkSession, folder: str, store: Store, label: str = "quality",
-    split: str | None = None,
+    split: str | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows (doc_id, text, text_nfkc, label, split), partitioned by document.
+    """Rows (doc_id, text, text_nfkc, label, split).
 
-    Python only sees the texts that NFKC may change: they are normalised apart and
-    joined back, which leaves the rest of the plan in the JVM and its partitioning
-    by document intact.
+    The ids that are kept, if they are few enough to broadcast, meet the texts at the scan: no text
+    is shuffled, and those that are not kept go no further. Otherwise both sides are
+    shuffled by document. Python only sees the texts that NFKC may change: they are normalised apart and
+    joined back, which leaves the rest of the plan in the JVM.
     """
     chosen = split_assignments(spark, folder, store, label)
     if split is not None:
         chosen = chosen.where(F.col("split") == split)
     texts = load_documents(spark, folder)
-    docs = texts.join(
-        chosen.select("doc_id", "label", "split").hint("shuffle_hash"), "doc_id")
-    odd = chosen.where("odd").select("doc_id")
-    if odd.isEmpty():
+    n, n_odd = chosen.agg(F.count("*"), F.count_if("odd")).first()
+    how = "broadcast" if n <= broadcast_rows else "shuffle_hash"
+    docs = texts.join(chosen.select("doc_id", "label", "split").hint(how), "doc_id")
+    if not n_odd:
         return docs.withColumn("text_nfkc", F.col("text"))
-    normal = texts.join(odd.hint("shuffle_hash"), "doc_id", "left_semi").select(
+    odd = chosen.where("odd").select("doc_id")
+    normal = texts.join(odd.hint(how), "doc_id", "left_semi").select(
         "doc_id", tx.nfkc("text").alias("_nfkc"))
     return docs.join(normal.hint("shuffle_hash"), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("_nfkc", "text").alias("text_nfkc"), "label", "split")
 
 
-def native_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the text columns and the token columns that need no lookup table."""
+def text_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the cleaned text and its tokens."""
     normal = F.col(f"{text}_nfkc") if f"{text}_nfkc" in docs.columns else tx.nfkc(text)
-    out = (
+    return (
         docs.withColumn("text_clean", tx.clean_normalized(normal))
         .withColumn("text_expanded", tx.expand_contractions("text_clean"))
         .withColumn("tokens_cased", tx.tokenize("text_expanded"))
-        .withColumn("tokens_lower", tx.lower_tokens("tokens_cased"))
     )
+
+
+def token_columns(docs: DataFrame) -> DataFrame:
+    """Add the token columns that ``tokens_cased`` gives without a lookup table."""
     return (
-        out.withColumn("tokens_filtered", tx.content_tokens("tokens_lower"))
+        docs.withColumn("tokens_lower", tx.lower_tokens("tokens_cased"))
+        .withColumn("tokens_filtered", tx.content_tokens("tokens_lower"))
         .withColumn("tokens_letters", tx.letter_tokens("tokens_lower"))
     )
 
 
+def native_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the text columns and the token columns that need no lookup table."""
+    return token_columns(text_columns(docs, text))
+
+
+def prepared_corpus(
+    spark: SparkSession, folder: str, store: Store, label: str = "quality", split: str | None = None,
+) -> DataFrame:
+    """Stored rows (doc_id, label, split, text_clean, text_expanded, tokens_cased): texts are cleaned once."""
+    def build() -> DataFrame:
+        return text_columns(split_corpus(spark, folder, store, label)).select(
+            "doc_id", "label", "split", "text_clean", "text_expanded", "tokens_cased")
+
+    docs = store.table(build, "prepared", folder=folder, label=label)
+    return docs if split is None else docs.where(F.col("split") == split)
+
+
 def all_tokens(
     docs: DataFrame, store: Store, text: str = "text", key: str = "doc_id",
     dictionary: DataFrame | None = None, **params: object,
@@ -103,10 +127,10 @@ def token_documents(
     label: str = "quality", split: str | None = None,
 ) -> DataFrame:
     """Rows (doc_id, label, split, tokens) with only the chosen token column derived."""
-    docs = native_tokens(split_corpus(spark, folder, store, label, split))
+    docs = token_columns(prepared_corpus(spark, folder, store, label, split))
     if token_col == "tokens_lemmatized":
         # the dictionary is the vocabulary of the training split, as every other statistic
-        everything = native_tokens(split_corpus(spark, folder, store, label))
+        everything = token_columns(prepared_corpus(spark, folder, store, label))
         known = distinct_tokens(everything.where("split = 'train'"), "tokens_lower")
         lemmas = store.table(
             lambda: lemma_table(everything, "tokens_lower", known), "lemmas", folder=folder, label=label)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicade.functions import text as tx
 from lexicade.operators import concepts as oc
-from lexicade.operators.joins import join_per_key
+from lexicade.operators.coding import code, dictionary, gram_counts, spell
+from lexicade.operators.joins import BROADCAST_ROWS, join_per_key
 from lexicade.operators.models import feature_vectors
 from lexicade.operators.ranking import sorted_index
 from lexicade.operators.scoring import class_counts, keep_features, z_scores
@@ -18,9 +21,7 @@ from lexicade.operators.vocabulary import (
     MAX_DF, MIN_DF, frequent_term_counts, frequent_words, known_term_counts,
 )
 from lexicade.operators.weighting import inverse_frequency, tfidf
-from lexicade.plans.corpus import (
-    native_tokens, split_assignments, split_corpus, token_documents,
-)
+from lexicade.plans.corpus import prepared_corpus, split_assignments, token_documents
 from lexicade.sources.artifacts import Store
 
 
@@ -64,7 +65,7 @@ def source_documents(spark: SparkSession, src: Source, store: Store,
     if not src.token_col.startswith("words:"):
         return token_documents(spark, src.folder, store, src.token_col, src.label, split)
     _, column, case = src.token_col.split(":")
-    docs = native_tokens(split_corpus(spark, src.folder, store, src.label, split))
+    docs = prepared_corpus(spark, src.folder, store, src.label, split)
     words = tx.word_tokens(column, lowercase=case == "lower")
     # unlike a token column, a text without words has no unit at all
     present = F.when(F.size(words) > 0, words)
@@ -79,31 +80,72 @@ def train_size(spark: SparkSession, src: Source, store: Store) -> int:
     return assignments(spark, src, store).where("split = 'train'").count()
 
 
-def unit_class_counts(spark: SparkSession, src: Source, store: Store) -> DataFrame:
-    """(term, df, c_pos, c_neg) of the kept units of the training split."""
-    n_train = F.lit(train_size(spark, src, store))
-    train = source_documents(spark, src, store, "train")
+def coded_documents(spark: SparkSession, src: Source, store: Store) -> tuple[DataFrame, Broadcast] | None:
+    """Stored (doc_id, label, split, ids) of all splits, and the words the ids stand for.
+
+    The words are those frequent enough in the training split: no n-gram is in more
+    documents than any of its words. None where the dictionary is too large for all tasks.
+    """
     params = {**src.key(), "n_range": None, "max_df": None}
-    frequent = store.table(lambda: frequent_words(train, "tokens", src.min_df), "frequent", **params)
-    counts = frequent_term_counts(train, frequent, "tokens", src.n_range, ("doc_id", "label"))
-    return class_counts(counts, n_train, src.min_df, src.max_df)
+    docs = source_documents(spark, src, store)
+    frequent = store.table(
+        lambda: frequent_words(docs.where("split = 'train'"), "tokens", src.min_df), "frequent", **params)
+    words = dictionary(frequent)
+    if words is None:
+        return None
+    keep = ("doc_id", "label", "split")
+    return store.table(lambda: code(docs, words, keep), "coded", **params), words
+
+
+def _class_counts(spark: SparkSession, src: Source, store: Store) -> DataFrame:
+    """(term, df, c_pos, c_neg[, gram]) of the kept units of the training split."""
+    n_train = F.lit(train_size(spark, src, store))
+    coded = coded_documents(spark, src, store)
+    if coded is None:
+        train = source_documents(spark, src, store, "train").repartition("doc_id")
+        frequent = store.table(lambda: frequent_words(train, "tokens", src.min_df), "frequent",
+                               **{**src.key(), "n_range": None, "max_df": None})
+        counts = frequent_term_counts(train, frequent, "tokens", src.n_range, ("doc_id", "label"))
+        return class_counts(counts, n_train, src.min_df, src.max_df)
+    docs, words = coded
+    counts = gram_counts(docs.where("split = 'train'"), src.n_range, ("label",))
+    per_gram = class_counts(counts, n_train, src.min_df, src.max_df, unit="gram")
+    return spell(per_gram, words).select("term", "df", "c_pos", "c_neg", "gram")
+
+
+def _stored_counts(spark: SparkSession, src: Source, store: Store) -> DataFrame:
+    return store.table(lambda: _class_counts(spark, src, store), "class_counts", **src.key())
+
+
+def unit_class_counts(spark: SparkSession, src: Source, store: Store) -> DataFrame:
+    """Stored (term, df, c_pos, c_neg) of the kept units of the training split."""
+    return _stored_counts(spark, src, store).drop("gram")
+
+
+def _scored_units(spark: SparkSession, src: Source, store: Store) -> DataFrame:
+    # scores read the counts twice, for their totals and for themselves
+    return store.table(lambda: z_scores(_stored_counts(spark, src, store)), "unit_features", **src.key())
 
 
 def unit_features(spark: SparkSession, src: Source, store: Store) -> DataFrame:
     """Stored (term, df, c_pos, c_neg, logodds, z), fitted on the training split."""
-    def build() -> DataFrame:
-        return z_scores(unit_class_counts(spark, src, store))
-
-    return store.table(build, "unit_features", **src.key())
+    return _scored_units(spark, src, store).drop("gram")
 
 
 def unit_matrix(spark: SparkSession, src: Source, store: Store) -> DataFrame:
-    """Stored (doc_id, label, split, term, cnt) of the kept units, all splits."""
+    """Stored (doc_id, label, split, term, df, cnt) of the kept units, all splits."""
+    keep = ("doc_id", "label", "split")
+
     def build() -> DataFrame:
-        vocab = unit_features(spark, src, store).select("term", "df")
-        docs = source_documents(spark, src, store)
-        return known_term_counts(
-            docs, vocab, "tokens", src.n_range, ("doc_id", "label", "split"))
+        vocab = _scored_units(spark, src, store)
+        coded = coded_documents(spark, src, store) if "gram" in vocab.columns else None
+        if coded is None or vocab.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            docs = source_documents(spark, src, store).repartition("doc_id")
+            return known_term_counts(docs, vocab.select("term", "df"), "tokens", src.n_range, keep)
+        known = np.sort(vocab.select("gram").toArrow()["gram"].to_numpy())
+        counts = gram_counts(coded[0], src.n_range, keep, spark.sparkContext.broadcast(known))
+        terms = F.broadcast(vocab.select("gram", "term", "df"))  # checked above
+        return counts.join(terms, "gram").select(*keep, "term", "df", "cnt")
 
     return store.table(build, "unit_matrix", **src.key())
 
