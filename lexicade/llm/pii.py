@@ -7,15 +7,25 @@ change no match but keep the time linear in the text.
 
 Outside the seeds, every token with a digit or @ is an open instance, and neighbouring
 tokens of digits, dots and dashes with at most three spaces and brackets between them are one;
-dots and dashes at its ends are not compared. An occurrence has three lexical
-patterns: the two words before it, the word on either side, the two words after it. Patterns
-and instances form a graph, scored in rounds: a pattern's confidence for a kind is the share
-of its different instances that are of the kind, weighted by their own confidence, and it
-needs ``support`` of them; an open instance's confidence is 1 - prod(1 - confidence) over its
-patterns. A pattern needs no seed: instances found in one round support the patterns of the
-next. There are at least ``rounds`` rounds, and more until one adds no pattern. After the
-rounds, every occurrence of a confident open instance is a found span, whatever its
-context. Only distinct (pattern, instance) pairs are counted, so copies of a text add nothing.
+dots and dashes at its ends are not compared. An occurrence has a context of three lexical
+patterns, from at most 64 code points on either side: the two words before it, the word on either side, the two
+words after it. Patterns and instances form a graph, scored in rounds:
+
+* A pattern's confidence for a kind is the sum of what its different instances give, divided by their
+  number; the sum must reach ``support`` and the share one half. A seed gives 1 to its own kind. An open
+  instance gives the confidence it has from its contexts without that pattern, so nothing is
+  proved by itself; one that has no other context gives 0, and still counts in the number.
+* A context's confidence is that of its best pattern. An instance's is 1 - prod(1 - confidence) over its
+  contexts.
+* An open instance must look like one (``plausible``): six digits for cards and phones, six characters with
+  three digits for addresses of machines, an @ or six characters with a letter for mail.
+
+A pattern needs no seed: instances found in one round support the patterns of the next. There are at
+least ``rounds`` rounds, and more until one adds no pattern. After the rounds, an occurrence is a found
+span if its context is confident. It is one in any context if its instance is confident also when its confidence
+is no more than the mean over its contexts, of which only those are left out whose patterns have too few instances
+to tell: what is seen in many contexts that say nothing is no identifier. Only distinct contexts are
+counted, so copies of a text add nothing.
 
 Defined cases: a null text is empty and has no span; rows that repeat are judged row by row;
 overlapping spans of different kinds are all reported, and masked together; no
@@ -154,6 +164,55 @@ def _occurrence(text: Column):
     return of
 
 
+def plausible(instance: Column, kind: Column) -> Column:
+    """Whether an open instance can be an identifier of the kind."""
+    digits, size = F.length(_digits(instance)), F.length(instance)
+    mail = instance.contains("@") | ((size >= 6) & instance.rlike("[A-Za-z]"))
+    return F.when(kind == "email", mail).when(kind == "ip", (size >= 6) & (digits >= 3)).otherwise(digits >= 6)
+
+
+def _scored(contexts: DataFrame, stage: Stage, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """From stored (context, instance, kind, patterns), of the open instances:
+    (instance, patterns, kind, conf) in their contexts, (instance, kind, conf) in any."""
+    each = contexts.select("context", "instance", "kind", F.explode("patterns").alias("pattern"))
+    # a pattern of fewer instances never has the support, whatever is found
+    totals = stage.keep(each.select("pattern", "instance").distinct().groupBy("pattern").agg(
+        F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pii_totals")
+    told = stage.keep(each.join(totals.select("pattern"), "pattern").distinct(), "pii_graph")
+    seeds = told.where("kind is not null").select("pattern", "instance", "kind").distinct().select(
+        "pattern", "kind", F.lit(1.0).alias("conf"))
+    might = F.lit(False)
+    for kind in KINDS:
+        might = might | plausible(F.col("instance"), F.lit(kind))
+    open_ = stage.keep(told.where(F.col("kind").isNull() & might).drop("kind"), "pii_open")
+    of_instance = stage.keep(
+        open_.select("instance", "context").distinct().groupBy("instance").agg(F.count("*").alias("m")), "pii_sizes")
+    pairs = stage.keep(open_.select("pattern", "instance").distinct(), "pii_pairs")
+    given, r, before, now = None, 0, None, None
+    log = F.log(1 - F.least("conf", F.lit(0.99)))
+    while r < rounds or now != before:
+        known = seeds if given is None else seeds.union(given.select("pattern", "kind", "conf"))
+        weight = known.groupBy("pattern", "kind").agg(F.sum("conf").alias("w")).where(F.col("w") >= SUPPORT)
+        score = stage.keep(
+            weight.join(totals, "pattern").select("pattern", "kind", (F.col("w") / F.col("n")).alias("conf"))
+            .where(F.col("conf") >= 0.5), f"pii_patterns{r}")
+        best = stage.keep(open_.join(score, "pattern").groupBy("instance", "context", "kind").agg(
+            F.max("conf").alias("conf")).where(plausible(F.col("instance"), F.col("kind"))), f"pii_best{r}")
+        sums = best.groupBy("instance", "kind").agg(F.sum(log).alias("log"), F.sum("conf").alias("total"))
+        sums = stage.keep(sums.join(of_instance, "instance"), f"pii_found{r}")
+        own = best.join(open_, ["instance", "context"]).groupBy("pattern", "instance", "kind").agg(
+            F.sum(log).alias("own_log"))
+        others = pairs.join(sums.drop("m"), "instance").join(own, ["pattern", "instance", "kind"], "left")
+        left = 1 - F.exp(F.col("log") - F.coalesce("own_log", F.lit(0.0)))
+        given = stage.keep(others.select("pattern", "kind", left.alias("conf")).where("conf > 1e-9"), f"pii_given{r}")
+        # confidences only rise, so equal counts are equal sets
+        before, now = now, score.agg(F.count("*"), F.count_if(F.col("conf") >= CONFIDENT)).first()
+        r += 1
+    near = best.join(contexts.where("kind is null").select("context", "patterns"), "context").drop("context")
+    free = sums.select("instance", "kind", F.least(1 - F.exp("log"), F.col("total") / F.col("m")).alias("conf"))
+    return near, free
+
+
 def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUNDS) -> DataFrame:
     """Every row as (doc, base, spans): its ``carry`` columns in a struct, seeds, all spans."""
     text = F.coalesce("text", F.lit(""))
@@ -166,33 +225,14 @@ def extract(docs: DataFrame, stage: Stage, carry: list[str], rounds: int = ROUND
         F.transform(F.concat("base", alone), _occurrence(F.col("text"))).alias("seen"))
     rows = stage.keep(rows, "pii_rows")
 
-    places = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*")
-    seen = places.withColumn("pattern", F.explode("patterns")).drop("patterns").where(
-        F.length("pattern") > 3)
-    edges = stage.keep(seen.select("pattern", "instance", "kind").distinct(), "pii_edges")
-    # a pattern of fewer instances never has the support, whatever is found
-    totals = stage.keep(
-        edges.select("pattern", "instance").distinct().groupBy("pattern").agg(
-            F.count("*").alias("n")).where(F.col("n") >= SUPPORT), "pii_totals")
-    edges = stage.keep(edges.join(totals, "pattern", "left_semi"), "pii_graph")
-    seeds = edges.where("kind is not null").select("pattern", "instance", "kind", F.lit(1.0).alias("conf"))
-    open_ = edges.where("kind is null").select("pattern", "instance")
-    known, r, before, now = seeds, 0, None, None
-    while r < rounds or now != before:
-        weight = known.groupBy("pattern", "kind").agg(F.sum("conf").alias("w")).where(F.col("w") >= SUPPORT)
-        score = stage.keep(
-            weight.join(totals, "pattern").select("pattern", "kind", (F.col("w") / F.col("n")).alias("conf"))
-            .where(F.col("conf") >= 0.5), f"pii_patterns{r}")
-        found = stage.keep(open_.join(score, "pattern").groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.99)))))).alias("conf")), f"pii_found{r}")
-        known = seeds.union(open_.join(found, "instance").select("pattern", "instance", "kind", "conf"))
-        # confidences only rise, so equal counts are equal sets
-        before, now = now, score.agg(F.count("*"), F.count_if(F.col("conf") >= CONFIDENT)).first()
-        r += 1
-    best = F.max(F.struct("conf", "kind"))
-    # an instance of a confident pattern is confident too, but for rounding
-    sure = found.where(F.col("conf") >= CONFIDENT - 1e-9).groupBy("instance").agg(best.alias("b"))
-    added = places.where("kind is null").select("row", "start", "end", "instance").join(sure, "instance")
+    places = rows.select("row", F.explode("seen").alias("x")).select("row", "x.*").withColumn(
+        "patterns", F.filter("patterns", lambda p: F.length(p) > 3))
+    contexts = stage.keep(places.select("instance", "kind", "patterns").distinct().withColumn("context", F.monotonically_increasing_id()), "pii_contexts")
+    found = _scored(contexts, stage, rounds)
+    open_ = places.where("kind is null").select("row", "start", "end", "instance", "patterns")
+    near, free = (x.where(F.col("conf") >= CONFIDENT - 1e-9) for x in found)
+    added = open_.join(free, "instance").unionByName(open_.join(near, ["instance", "patterns"])).groupBy(
+        "row", "start", "end").agg(F.max(F.struct("conf", "kind")).alias("b"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).cast("int") - 1
     added = stage.keep(added.groupBy("row").agg(F.collect_list(F.struct(
         "start", rank.alias("rank"), F.col("b.kind").alias("kind"), "end")).alias("added")), "pii_added")

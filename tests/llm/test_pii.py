@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexicade.llm import pii
@@ -74,7 +75,7 @@ def _found(spark, stage, texts):
 
 def test_patterns_without_seeds_are_learnt_over_many_rounds(spark, stage):
     """Each context is reached through the identifiers that the one before gave away."""
-    texts = [f"{a} mail is user{i}{end}" for a in ("my", "her") for end, n in (("@mail.example", 96), ("x0", 48))
+    texts = [f"{a} mail is user{i}{end}" for a in ("my", "her") for end, n in (("@mail.example", 480), ("x0", 48))
              for i in range(n)]
     for k, c in enumerate("abcd"):
         texts += [f"{c}{c} {a}{c} user{i}x{j}" for a in ("login", "name") for j, n in ((k, 48 >> k), (k + 1, 24 >> k))
@@ -129,3 +130,103 @@ def test_overlapping_spans_become_one(spark):
 
 def test_empty_table(empty, stage):
     assert pii.extract(empty, stage, ["doc_id"]).count() == 0
+
+
+def _plain_occurrences(text):
+    """(instance, kind, patterns) of seeds and open instances, with Python's expressions."""
+    seeds = [(int(a), int(b), k, text[int(a):int(b)]) for k, a, b in (x.split(":") for x in expected(text).split(",") if x)]
+    rest = list(text)
+    for a, b, *_ in seeds:
+        rest[a:b] = "\n" * (b - a)
+    every = seeds + [(m.start(), m.end(), None, m.group().strip(".-")) for m in re.finditer(pii.OPEN, "".join(rest))]
+    for a, b, kind, instance in every:
+        before = re.sub(r"\s+", " ", text[max(0, a - 64): a]).lower().strip(" ").split(" ")
+        after = re.sub(r"\s+", " ", text[b: b + 64]).lower().strip(" ").split(" ")
+        two = ([""] + before)[-2:]
+        next_ = (after + [""])[:2]
+        patterns = (f"{two[0]} {two[1]} _", f"{two[1]} _ {next_[0]}", f"_ {next_[0]} {next_[1]}")
+        yield instance, kind, tuple(p for p in patterns if len(p) > 3)
+
+
+def _plausible(i, kind):
+    digits = sum(c in "0123456789" for c in i)
+    if kind == "email":
+        return "@" in i or (len(i) >= 6 and re.search("[A-Za-z]", i) is not None)
+    return len(i) >= 6 and digits >= 3 if kind == "ip" else digits >= 6
+
+
+def _plain_graph(texts):
+    """Open instances with their kind where they are found, straight from the definitions."""
+    contexts = {(i, k, p) for t in texts for i, k, p in _plain_occurrences(t)}
+    members = {}
+    for i, _, patterns in contexts:
+        for p in patterns:
+            members.setdefault(p, set()).add(i)
+    told = {p for p, m in members.items() if len(m) >= pii.SUPPORT}
+    seeds = {(p, i, k) for i, k, patterns in contexts if k for p in patterns if p in told}
+    of = {}
+    for i, k, patterns in contexts:
+        if k is None and told & set(patterns):
+            of.setdefault(i, set()).add(patterns)
+    conf, counts, r = {}, None, 0
+
+    def best(c, k):
+        return max([conf.get((p, k), 0.0) for p in c])
+
+    def confidence(i, k, without=None):
+        miss = 1.0
+        for c in of[i]:
+            if without is None or without not in c:
+                miss *= 1 - min(best(c, k), 0.99)
+        return 1 - miss if _plausible(i, k) else 0.0
+
+    while True:
+        new = {}
+        for p in told:
+            for k in pii.KINDS:
+                w = sum((p, i, k) in seeds for i in members[p])
+                w += sum(confidence(i, k, p) for i in members[p] if any(p in c for c in of.get(i, ())))
+                if w >= pii.SUPPORT - 1e-9 and w / len(members[p]) >= 0.5 - 1e-9:
+                    new[p, k] = w / len(members[p])
+        conf, r = new, r + 1
+        now = len(conf), sum(c >= pii.CONFIDENT for c in conf.values())
+        if r >= pii.ROUNDS and now == counts:
+            break
+        counts = now
+    found = []
+    for t in texts:
+        for i, k, c in _plain_occurrences(t):
+            if k is not None or i not in of:
+                continue
+            ways = [(min(confidence(i, k), sum(best(x, k) for x in of[i]) / len(of[i])), k) for k in pii.KINDS]
+            ways += [(best(c, k) if _plausible(i, k) else 0.0, k) for k in pii.KINDS if c in of[i]]
+            if max(ways)[0] >= pii.CONFIDENT - 1e-9:
+                found.append((i, max(ways)[1]))
+    return sorted(found)
+
+
+PHONES = [f"call me at +1 (974) 555-30{i:02d} now please" for i in range(40)]
+MAILS = [f"my mail is {n}@site{j}.org and that is all" for j, n in enumerate(("ann", "bob", "cem", "dan"))]
+ROOMS = [f"my mail is {r} and that is all" for r in ("room404", "item7", "box2200", "v2")]
+UNRELATED = ["I have 5 cats and 5 dogs", "in 2019 there were 5 houses", "see room404 and v2 of the manual",
+             "the part 1234567 is sold", "a box2200 of 1234567 parts"]
+CHAIN = [*[f"my mail is u{i}ser@a{i}.org and that is all" for i in range(40)],
+         *[f"my mail is user{i}x7 and that is all" for i in range(8)],
+         *[f"the login name user{i}x7 works for {i} days" for i in range(9)],
+         *[f"write to user{i}x7 if need be" for i in range(4, 12)]]
+
+
+@pytest.mark.parametrize("texts", [PHONES + ["call me at 5 now please"] + UNRELATED, MAILS + ROOMS + UNRELATED, CHAIN + UNRELATED,
+                                   PHONES + ["call me at 1234567 now please"] * 2 + UNRELATED * 2])
+def test_graph_is_the_plain_one(spark, stage, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for r in pii.extract(df, stage, ["doc_id"]).collect():
+        base = {(x.start, x.end) for x in r.base}
+        for x in r.spans:
+            if (x.start, x.end) not in base:
+                got.append((texts[r.doc.doc_id][x.start:x.end].strip(".-"), x.kind))
+    assert sorted(got) == _plain_graph(texts)
+    assert not {"5", "2019", "room404", "v2", "item7", "box2200"} & {i for i, _ in got}
+    if texts[0] == CHAIN[0]:
+        assert {(f"user{i}x7", "email") for i in range(9)} <= set(got)
