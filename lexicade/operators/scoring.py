@@ -178,3 +178,16 @@ def select_columns(counts: DataFrame, kept: DataFrame, key: str = "doc_id") -> D
     if kept.limit(2).count() < 2:
         return None
     return join_per_key(counts, kept.select("term", "df"), "term", key, "df").drop("df")
+
+
+def score_documents(docs: DataFrame, counts: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """(model, split, doc_id, true_label, probability) by the mean z of a document's kept terms.
+
+    ``kept`` is a stored (term, df, z), ``counts`` has doc_id, term and cnt; the probability is the
+    sigmoid of the mean, one half without a kept term, in six digits.
+    """
+    cells = join_per_key(counts.select("doc_id", "term", "cnt"), kept.select("term", "df", "z"), "term", "doc_id", "df")
+    means = cells.groupBy("doc_id").agg((F.sum(F.col("cnt") * F.col("z")) / F.sum("cnt")).alias("_m"))
+    p = F.round(1.0 / (1.0 + F.exp(-F.coalesce("_m", F.lit(0.0)))), 6)
+    return docs.join(means, "doc_id", "left").select(
+        F.lit(name).alias("model"), "split", "doc_id", F.col("label").cast("int").alias("true_label"), p.alias("probability"))
