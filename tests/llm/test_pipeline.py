@@ -72,7 +72,7 @@ def test_run_applies_the_stages(spark):
 
 
 def test_queries_are_registered_and_match_their_sql(spark):
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     con = duck(FOLDER)
     for name, sql in ORACLES.items():
         problem, n, _ = compare(spark, con, FOLDER, QUERIES[name], sql)
@@ -87,7 +87,8 @@ def test_queries_return_their_columns(spark):
         6: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         7: "doc_id held_out score predicted",
         9: "doc_id piece start length ids_crc32 sequence_id offset",
-        10: "doc_id n_words n_hit n_items items_sha256 contaminated"}
+        10: "doc_id n_words n_hit n_items items_sha256 contaminated", 11: "query_id rank vec_id score",
+        12: "doc_id leaf subroot root proof_sha256 folded_root verified", 13: "word form root n n_near form_n"}
     for name, query in QUERIES.items():
         if (n := int(name[2:].split("_")[0])) in columns:
             got = query(spark, FOLDER).schema
