@@ -41,10 +41,6 @@ def z_score(logodds: Column, c_pos: Column, c_neg: Column, alpha: float = ALPHA)
     return logodds / F.sqrt(1.0 / (c_pos + alpha) + 1.0 / (c_neg + alpha))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-x))
-
-
 def signed_unit(total: Column, alpha: float) -> Column:
     """Map a sum of valences into (-1, 1)."""
     return total / F.sqrt(total * total + alpha)
