@@ -106,7 +106,7 @@ def test_queue_stays_small(monkeypatch):
         most.append(len(queue))
 
     monkeypatch.setattr(merkle.heapq, "heappush", push)
-    n, shape = 5000, merkle.Shape()
+    n, shape = 5000, merkle.Shape(levels=5)  # one block
     batch = pa.record_batch([pa.array(["g"] * n), pa.array([n] * n), pa.array([0] * n), pa.array(range(n)),
                              pa.array(["d"] * n)], names=["g", "n", "block", "idx", "digest"])
     nodes = sum(b.num_rows for b in merkle._forward(shape)(iter([batch])))
