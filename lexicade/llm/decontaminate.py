@@ -5,10 +5,11 @@ Words are runs of digits, letters a-z (A-Z lowered) and characters outside ASCII
 without words has none. A document word inside any occurrence of a window is hit.
 
 The windows' own texts are the keys of the broadcast set, so a found key is a verified hit.
-The set is broadcast up to ``MOST_WINDOWS`` windows, a larger one is joined by a shuffle.
+The set is broadcast up to ``MOST_BYTES``, measured before; a larger one is joined by a shuffle.
 Documents are screened first: a window's longest pair of neighbouring words must be in a
 document that holds the window, so only documents with one of those pairs build their own
 windows. The screen compares in upper case, which keeps a superset; it never decides a hit.
+It is left out where its pairs are more than ``MOST_ANCHORS`` or ``ANCHOR_BYTES``.
 
 Defined cases: a null or wordless text has no words and no hits; repeated rows are judged
 row by row; a null doc_id is kept; items with equal windows all count; with an empty
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from lexicade.llm.stage import NO_ID, Stage, keyed
 
-MOST_WINDOWS = 1_000_000
+MOST_BYTES = 64 << 20
+# of a row of the broadcast set beside its text
+ROW_BYTES = 64
 MOST_ANCHORS = 20_000
+ANCHOR_BYTES = 2 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -70,12 +74,15 @@ def _pairs(w: Column) -> Column:
 
 
 def _anchors(windows: DataFrame) -> list[str] | None:
-    """The longest pair of each window, or its one word, in upper case; None if there are too many."""
+    """The longest pair of each window, or its one word, in upper case; None if they are too many or too long."""
     w = F.split("window", " ")
     pairs = F.slice(_pairs(w), F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
     longest = F.array_max(F.transform(pairs, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-    found = windows.select(F.upper(longest).alias("x")).distinct().limit(MOST_ANCHORS + 1).collect()
-    return None if len(found) > MOST_ANCHORS else [r.x for r in found]
+    found = windows.select(F.upper(longest).alias("x")).distinct()
+    size = found.agg(F.count("*").alias("n"), F.sum(F.octet_length("x")).alias("bytes")).first()
+    if size.n > MOST_ANCHORS or (size.bytes or 0) > ANCHOR_BYTES:
+        return None
+    return [r.x for r in found.collect()]
 
 
 def covered(spans: Column) -> Column:
@@ -96,8 +103,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int
     from 1, of every occurring window.
     """
     windows = stage.keep(benchmark_windows(benchmark, size), "windows")
-    n_windows = windows.count()
-    lengths = [r.length for r in windows.select("length").distinct().collect()]  # at most ``size``
+    of = windows.agg(F.sum(F.octet_length("window") + ROW_BYTES).alias("bytes"),
+                     F.collect_set("length").alias("lengths")).first()
+    lengths = of.lengths  # at most ``size``
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"),
                        _parts(F.upper(text)).alias("u"))
@@ -123,7 +131,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stage: Stage, size: int
     if not lists:
         lists = [F.array().cast("array<struct<first:int,last:int,window:string>>")]
     found = own.select("row", F.explode(F.concat(*lists)).alias("x")).select("row", "x.*")
-    small = F.broadcast(windows) if n_windows <= MOST_WINDOWS else windows
+    # the hint keeps a plan that broadcasts on estimates from a set that is too large
+    small = F.broadcast(windows) if (of.bytes or 0) <= MOST_BYTES else windows.hint("merge")
     hits = found.join(small.select("item_id", "window"), "window").groupBy("row").agg(
         F.collect_set(F.struct("first", "last")).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))

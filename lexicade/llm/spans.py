@@ -7,9 +7,7 @@ words, pairs with ``words[1]``, and runs of three or more with ``words[2]`` that
 fewer without their first or without their last sentence, or be fewer than three. Which they
 are depends on the sentences alone, so equal passages have equal spans, and the spans of a
 passage that meets one of the three bounds cover all its sentences. A sentence counts one word at
-least, so a run has at most max(3, ``words[2]``) sentences. These are all spans, which ``every``
-asks for; without it a sentence begins one only, the shortest of at most three sentences, and
-ends of repeated passages and passages of short lines can stay. All spans are joined globally;
+least, so a run has at most max(3, ``words[2]``) sentences. All spans are joined globally;
 the first occurrence of a span, by doc_id and place, stays, and the sentences that any other
 occurrence covers are removed.
 
@@ -46,8 +44,8 @@ def _facts(s: Column) -> Column:
     return F.transform(s, of)
 
 
-def _spans(facts: Column, words: tuple[int, int, int], every: bool) -> Column:
-    """Structs (key, size, at, n) of all spans, or of the shortest of at most three sentences from each."""
+def _spans(facts: Column, words: tuple[int, int, int]) -> Column:
+    """Structs (key, size, at, n) of all spans."""
     longest = max(3, words[2])
 
     def total(name: str, i: Column, n: Column) -> Column:
@@ -58,9 +56,7 @@ def _spans(facts: Column, words: tuple[int, int, int], every: bool) -> Column:
         three = x["w"] + y["w"] + z["w"]
         n = F.array_compact(F.array(
             F.when(x["w"] >= words[0], 1), F.when(x["w"] + y["w"] >= words[1], 2), F.when(three >= words[2], 3)))
-        if not every:
-            n = F.slice(n, 1, 1)
-        elif longest > 3:
+        if longest > 3:
             more = F.filter(
                 F.sequence(F.lit(4), F.lit(longest)),
                 lambda n: (i + n <= F.size(facts)) & (total("w", i, n) >= words[2])
@@ -75,12 +71,11 @@ def _spans(facts: Column, words: tuple[int, int, int], every: bool) -> Column:
     return F.flatten(F.transform(facts, of))
 
 
-def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS,
-             every: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS) -> DataFrame:
     """(doc_id, text_hash, cut): the (at, n) runs of sentences to remove, of the documents that have any."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _facts(sentences(text)).alias("facts"))
-    rows = rows.select("doc_id", "text_hash", F.explode(_spans(F.col("facts"), words, every)).alias("x"))
+    rows = rows.select("doc_id", "text_hash", F.explode(_spans(F.col("facts"), words)).alias("x"))
     seen = stage.keep(rows.select("x.key", "x.size", "doc_id", "text_hash", "x.at", "x.n"), "spans")
     place = F.struct("doc_id", "text_hash", "at")
     more = stage.keep(
@@ -91,10 +86,9 @@ def repeated(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS,
         again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("cut")), "cuts")
 
 
-def without_repeats(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS,
-                    every: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, stage: Stage, words: tuple[int, int, int] = WORDS) -> DataFrame:
     """``docs`` with their texts freed of repeats, and the columns n_sentences and n_removed."""
-    cuts = repeated(docs, stage, words, every).select(
+    cuts = repeated(docs, stage, words).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("text_hash").alias("h"), "cut")
     rows = keyed(docs).join(cuts.hint("merge"), ["i", "h"], "left").withColumn(
         "s", F.coalesce(sentences(F.col("text")), F.array().cast("array<string>")))

@@ -9,10 +9,12 @@ match inside an exception phrase does not count, of the matches that begin at on
 the heaviest does, and a word that is repeated counts once. The matched weight, also normalised by the text's length, goes
 through a logistic curve.
 
-Entries and curve are learnt from at most ``sample`` labelled rows, those of least hash of
-the id (a documented bound; the same rows at any partitioning). The curve is fitted on
-scores that each half of the sample gets from a lexicon of the other half. Only the texts
-of labelled rows are learnt from; scores depend on nothing but the text.
+Entries and curve are learnt from at most ``sample`` labelled ids, those of least hash, and
+where such ids repeat with other texts at most ``sample`` of their rows, those of least hash of
+id and text (a documented bound; the same rows at any partitioning). Every entry that is
+significant in them is kept. The curve is fitted on scores that each half of the sample gets
+from a lexicon of the other half alone. Only the texts of labelled rows are learnt from;
+scores depend on nothing but the text.
 
 Defined cases: a null or empty text has no match and the least score; several labels of one
 id count as toxic if any is; null labels and ids are not learnt from; without any labelled
@@ -30,13 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicade.llm.textbytes import release
 
 SAMPLE = 20_000
-LEXICON = 5_000
 BEGINNINGS = (4, 5, 6)
 LEAST_DOCS = 3
 LEAST_Z = 3.0
@@ -125,28 +126,58 @@ def _weights(positive: np.ndarray, negative: np.ndarray, n_pos: int, n_neg: int)
     return rate, np.where(positive >= LEAST_DOCS, rate / error, 0.0)
 
 
-def lexicon(names: list[str], positive, negative, n_pos: int, n_neg: int, most: int) -> dict[str, float]:
-    """The ``most`` most significant entries of positive weight."""
+def lexicon(names: list[str], positive, negative, n_pos: int, n_neg: int) -> dict[str, float]:
+    """The significant entries of positive weight."""
     if not n_pos or not n_neg or not names:
         return {}
     rate, z = _weights(np.asarray(positive, float), np.asarray(negative, float), n_pos, n_neg)
-    order = sorted(np.flatnonzero((z >= LEAST_Z) & (rate > 1.0)), key=lambda i: (-z[i], names[i]))
-    return {names[i]: float(rate[i]) for i in order[:most]}
+    return {names[i]: float(rate[i]) for i in np.flatnonzero((z >= LEAST_Z) & (rate > 1.0))}
+
+
+def _significant(p: Column, q: Column, n_pos: int, n_neg: int) -> Column:
+    """Whether counts may pass ``lexicon``; a little wider, so that no rounding decides here."""
+    rate = F.log((p + 0.5) / (n_pos + 1)) - F.log((q + 0.5) / (n_neg + 1))
+    z = rate / F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    return (p >= LEAST_DOCS) & (z >= LEAST_Z - 1e-6)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps; slopes held at or above zero."""
-    x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 3))
-    w = np.zeros(3)
-    w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * np.r_[0, w[1:]]
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, ridge, ridge])
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-9:
+    """Logistic regression with slopes at or above zero, by Newton steps that never raise the loss.
+
+    Half a row of each label without any match is added, so that one class or none has the
+    smoothed share of toxic labels as its score.
+    """
+    x = np.column_stack([np.ones(len(x) + 2), np.vstack([x.reshape(-1, 2), np.zeros((2, 2))])])
+    y = np.r_[y, 0.0, 1.0]
+    weight = np.r_[np.ones(len(y) - 2), 0.5, 0.5]
+    shrink = np.array([0.0, ridge, ridge])
+
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float(weight @ (np.logaddexp(0, t) - y * t) + shrink @ (w * w) / 2)
+
+    share = float(weight @ y / weight.sum())
+    w = np.array([math.log(share / (1 - share)), 0.0, 0.0])
+    value = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (weight * (p - y)) + shrink * w
+        free = np.array([True, w[1] > 0 or gradient[1] < 0, w[2] > 0 or gradient[2] < 0])
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9)
+        step = np.zeros(3)
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        scale = 1.0
+        while scale > 1e-10:
+            new = w - scale * step
+            new[1:] = np.maximum(new[1:], 0)
+            if loss(new) < value:
+                break
+            scale /= 2
+        else:
+            break
+        moved = np.abs(new - w).max()
+        w, value = new, loss(new)
+        if moved < 1e-9:
             break
     return tuple(float(v) for v in w)
 
@@ -167,7 +198,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LEXICON,
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """Fit on the texts of ``docs`` that ``labels`` (doc_id, label 0/1) names."""
@@ -181,23 +212,31 @@ def learn(
     known = docs.sparkSession.createDataFrame(known.collect(), "doc_id long, label int, half int")
     named = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
         "doc_id", "text", "label", "half").dropDuplicates(["doc_id", "text"])
-    sizes = {(r.half, r.label): r.n for r in
-             named.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+
+    def counted() -> dict[tuple[int, int], int]:
+        return {(r.half, r.label): r.n for r in
+                named.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+
+    sizes = counted()
+    if sum(sizes.values()) > sample:
+        own = F.xxhash64("doc_id", "text", F.lit(13))
+        last = named.select(own.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        named = named.where(own <= last)
+        sizes = counted()
     n = {(h, y): sizes.get((h, y), 0) for h in (0, 1) for y in (0, 1)}
     sums = named.select("text", "label", "half").mapInArrow(
         _count_terms, "term string, n0 long, p0 long, n1 long, p1 long"
     ).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")])
     p, q = F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1")
     n_pos, n_neg = n[0, 1] + n[1, 1], n[0, 0] + n[1, 0]
-    rate = F.log((p + 0.5) / (n_pos + 1)) - F.log((q + 0.5) / (n_neg + 1))
-    z = rate / F.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-    rows = (
-        sums.where(p >= LEAST_DOCS).select("*", z.alias("z"))
-        .where("z >= 1").orderBy(F.desc("z"), "term").limit(4 * most).collect()
-    )
+    # the entries of the three lexicons, bounded by the sampled texts
+    rows = sums.where(
+        _significant(p, q, n_pos, n_neg)
+        | _significant(F.col("p0"), F.col("n0"), n[0, 1], n[0, 0])
+        | _significant(F.col("p1"), F.col("n1"), n[1, 1], n[1, 0])).orderBy("term").collect()
     names = [r.term for r in rows]
     c = {k: np.array([r[k] for r in rows], float) for k in ("n0", "p0", "n1", "p1")}
-    half = [Model(lexicon(names, c[f"p{h}"], c[f"n{h}"], n[h, 1], n[h, 0], most), exceptions, (0, 0, 0))
+    half = [Model(lexicon(names, c[f"p{h}"], c[f"n{h}"], n[h, 1], n[h, 0]), exceptions, (0, 0, 0))
             for h in (0, 1)]
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +248,12 @@ def learn(
                 [batch.column("label"), pa.array([f[0] for f in found], pa.float64()),
                  pa.array([f[1] for f in found], pa.int64())], names=["label", "total", "n"])
 
-    # at most ``sample`` rows of three numbers, several where an id repeats with other texts
+    # at most ``sample`` rows of three numbers
     scored = named.select("text", "label", "half").mapInArrow(cross, "label int, total double, n long")
-    scored = scored.groupBy("label", "total", "n").agg(F.count("*").alias("k")).orderBy(
-        "label", "total", "n").limit(sample).collect()
-    x = np.array([features(r.total, r.n) for r in scored for _ in range(min(r.k, sample))]).reshape(-1, 2)
-    y = np.array([r.label for r in scored for _ in range(min(r.k, sample))], float)
-    weights = lexicon(names, c["p0"] + c["p1"], c["n0"] + c["n1"], n_pos, n_neg, most)
+    scored = scored.orderBy("label", "total", "n").collect()
+    x = np.array([features(r.total, r.n) for r in scored]).reshape(-1, 2)
+    y = np.array([r.label for r in scored], float)
+    weights = lexicon(names, c["p0"] + c["p1"], c["n0"] + c["n1"], n_pos, n_neg)
     return Model(weights, exceptions, fit_curve(x, y))
 
 

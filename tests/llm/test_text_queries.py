@@ -63,6 +63,47 @@ def test_toxicity_without_labels(spark, corpus, empty):
     assert toxicity.scores(empty, model).count() == 0
 
 
+def test_sample_bounds_rows_without_regard_to_labels(spark):
+    docs, labels = labelled(spark)
+    # one id with many texts that are not toxic, all different
+    hot = spark.range(600).select(F.lit(1).cast("long").alias("doc_id"),
+                                  F.concat(F.lit(f"{WORDS} you nice friend number"), "id", F.lit(f" {WORDS}")).alias("text"))
+    whole, few = (toxicity.learn(docs.union(hot), labels, sample=n) for n in (2000, 450))
+    assert " idiot " in few.weights
+    cases = spark.createDataFrame([(1, f"{WORDS} you idiot and vequa too {WORDS}"), (2, WORDS)], "doc_id long, text string")
+    for model in (whole, few):
+        got = {r.doc_id: r.toxicity for r in toxicity.scores(cases, model).collect()}
+        assert got[1] > 0.5 > got[2]
+
+
+def test_curve_has_the_least_loss():
+    rng = np.random.default_rng(3)
+    for n, k in ((400, 40), (1000, 100), (50, 1), (30, 0), (0, 0)):
+        y = np.r_[np.ones(k), np.zeros(n - k)]
+        x = np.array([toxicity.features(8 * v * rng.random(), 36) for v in y]).reshape(-1, 2)
+        w = np.array(toxicity.fit_curve(x, y))
+
+        def loss(w):
+            t = np.r_[x @ w[1:] + w[0], w[0], w[0]]
+            h = np.r_[np.ones(n), 0.5, 0.5]
+            return h @ (np.logaddexp(0, t) - np.r_[y, 0, 1] * t) + 0.025 * (w[1:] @ w[1:])
+
+        for d in rng.normal(size=(200, 3)) * 0.05:
+            moved = np.r_[(w + d)[0], np.maximum((w + d)[1:], 0)]
+            assert loss(moved) >= loss(w) - 1e-9
+        if k == 0:
+            assert abs(1 / (1 + math.exp(-w[0])) - 0.5 / (n + 1)) < 1e-9
+
+
+def test_every_significant_entry_is_kept(spark):
+    bad = [f"zz{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(97)]
+    rows = [(i, " ".join(bad[(i // 4 + k) % 97] for k in range(60)) if i % 4 == 0 else f"{WORDS} n{i}")
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("label")))
+    assert {f" {w} " for w in bad} <= set(model.weights)
+
+
 # --------------------------------------------------------- decontamination ----
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
@@ -106,6 +147,20 @@ def test_removal_of_documents_and_spans(spark, corpus, rows, stage):
     assert len(cut) == 4
 
 
+def test_large_windows_are_joined_by_a_shuffle(spark, monkeypatch, corpus):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+
+    def hits():
+        out = decontaminate.contamination(corpus, bench, Stage(spark))
+        return sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in out.collect())
+
+    want = hits()
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "ANCHOR_BYTES", 0)
+    monkeypatch.setattr(decontaminate.F, "broadcast", None)
+    assert hits() == want
+
+
 def test_no_benchmark_and_no_documents(spark, corpus, rows, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(corpus, none, Stage(spark)).where("n_hit > 0").count() == 0
@@ -116,6 +171,13 @@ def test_no_benchmark_and_no_documents(spark, corpus, rows, empty):
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?!\s|\Z))+(?:[.!?\n]\s*)?|[.!?\n]\s*")
 
 
+def needed(w):
+    """Whether a run of sentences with these numbers of words is a span, by its definition alone."""
+    if len(w) < 3:
+        return sum(w) >= (40, 25)[len(w) - 1]
+    return sum(w) >= 10 and (len(w) == 3 or sum(w[1:]) < 10 or sum(w[:-1]) < 10)
+
+
 def without_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -124,16 +186,30 @@ def without_repeats(rows):
         w = [len(x.split(" ")) for x in n]
         cut = set()
         for k in range(len(s)):
-            m = (1 if w[k] >= 40 else 2 if k + 1 < len(s) and w[k] + w[k + 1] >= 25
-                 else 3 if k + 2 < len(s) and sum(w[k: k + 3]) >= 10 else 0)
-            if m and tuple(n[k: k + m]) in seen:
-                cut |= set(range(k, k + m))
-            elif m:
-                seen.add(tuple(n[k: k + m]))
+            # a run of more than ten sentences has ten words without its first
+            for m in range(1, min(len(s) - k, 10) + 1):
+                if needed(w[k: k + m]):
+                    run = tuple(n[k: k + m])
+                    if run in seen:
+                        cut |= set(range(k, k + m))
+                    seen.add(run)
         out[i] = (None if t is None else "".join(x for k, x in enumerate(s) if k not in cut), len(cut))
     return out
 
 
+def test_spans_equal_brute_force_on_mixed_passages(spark):
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"s{k}x{j}" for j in range(n)) + rng.choice([". ", "! ", "\n"])
+             for k, n in enumerate(rng.choice([1, 1, 2, 3, 4, 9, 12, 26, 41], 60))]
+    blocks = ["".join(lines[a: a + n]) for a, n in zip(rng.integers(0, 50, 25), rng.integers(1, 14, 25))]
+    plain = [(i, "".join(blocks[b] for b in rng.integers(0, 25, rng.integers(0, 5)))) for i in range(120)]
+    plain += [(200, None), (201, blocks[0] * 2_000)]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeats(df, Stage(spark)).collect()}
+    want = without_repeats(plain)
+    assert got == want and sum(n for _, n in want.values()) > 100
+
+
 def test_only_first_occurrences_stay(spark, corpus, rows):
     passage = "This is the first sentence of it. The second one follows here! And a third, is it not? "
     more = [(1_000_001, "Head line one.\n" + passage + "Tail."), (1_000_002, passage + passage + "Own end of it all."),
@@ -156,7 +232,7 @@ def test_spans_on_repeated_rows_and_empty_tables(spark, corpus, rows, empty):
 
 def _removed(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeats(df, Stage(spark), every=True).collect()}
+    return {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeats(df, Stage(spark)).collect()}
 
 
 def sized(tag, *words):
