@@ -10,9 +10,11 @@ weighted Jaccard similarity. Ranks are only generated up to where about ``k (ln
 fall, whatever the text's length; texts with an empty coordinate go on to twice that rank.
 
 The signature is cut into bands. Texts that share a band are compared exactly, without
-listing all pairs: first each with the least of its band, then, where the texts of a band
-still lie in several components, those of different components in blocks of bounded size.
-So the components are those of all pairs of a band that reach the similarity.
+listing all pairs: first each with the least of its band. The texts of bands that still hold
+several components are then joined exactly (``setjoin``): those of different components meet
+where they share a rare run and have similar lengths, whatever the size of their band. So the
+components are those of all pairs of a band that reach the similarity, and of all pairs
+of texts of such bands.
 
 Defined cases: a null text is empty; texts with the same word sequence are one class, texts
 without any word one class per equal text; rows repeated exactly are rows of one class; a
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicade.llm.components import components
+from lexicade.llm.setjoin import ELEMENTS, similar_sets
 from lexicade.llm.stage import NO_ID, Stage, keyed
 from lexicade.llm.textbytes import (
     LOWER, WORD, U, WordHash, blocks, mix, release, sequence_keys, shingles, word_spans,
 )
 
 BANDS, ROWS = 25, 5
-BLOCK = 1000  # texts of one band that are compared in one task
 _STEP = U(0xD1342543DE82EF95)
 
 
@@ -172,46 +174,9 @@ def _elements(size: int):
     return run
 
 
-def _compare(similarity: float):
-    """Links between texts of different components in one pair of blocks of a band."""
-    def run(table: pa.Table) -> pa.Table:
-        nodes, roots = table["node"].to_pylist(), table["root"].to_pylist()
-        block = table["block"].to_numpy()
-        lists = table["elements"].combine_chunks()
-        flat = lists.flatten().to_numpy()
-        sizes = np.diff(lists.offsets.to_numpy())
-        m = len(nodes)
-        of = np.repeat(np.arange(m), sizes)
-        _, ids = np.unique(flat, return_inverse=True)
-        order = np.argsort(ids, kind="stable")
-        posting, edge = of[order], np.r_[0, np.cumsum(np.bincount(ids))]
-        begin = np.r_[0, np.cumsum(sizes)]
-        _, group = np.unique(np.array(roots, dtype=object), return_inverse=True)
-        group = group.copy()
-        both = len(np.unique(block)) > 1
-        a_out, b_out = [], []
-        for x in range(m):
-            if (group == group[0]).all():
-                break
-            mine = ids[begin[x]: begin[x + 1]]
-            hits = np.concatenate([posting[edge[i]: edge[i + 1]] for i in mine]) if len(mine) else of[:0]
-            shared = np.bincount(hits, minlength=m)
-            close = shared >= similarity * (sizes + sizes[x] - shared) - 1e-9
-            close &= group != group[x]
-            if both:
-                close &= block != block[x]
-            for y in np.flatnonzero(close):
-                if group[y] != group[x]:
-                    a_out.append(nodes[x])
-                    b_out.append(nodes[y])
-                    group[group == group[y]] = group[x]
-        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
-    return run
-
-
 def near_duplicates(
     docs: DataFrame, stage: Stage, similarity: float = 0.8, words: int = 5,
-    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
+    bands: int = BANDS, rows: int = ROWS, elements: int = ELEMENTS,
 ) -> DataFrame:
     """(doc_id, text_hash, class_id, n_class, keep) for every row of ``docs``.
 
@@ -261,17 +226,12 @@ def near_duplicates(
     labelled = stage.keep(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(
         F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    n_blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     rest = (
-        labelled.join(mixed, "key", "left_semi")
-        .withColumn("g", n_blocks)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "node", "root")
-        .join(sets, "node")
+        labelled.join(mixed, "key", "left_semi").select("node", "root").distinct()
+        .join(sets.select("node", F.col("elements").alias("signs")), "node")
     )
-    more = rest.groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a binary, b binary")
+    rest = stage.keep(rest.select("node", "root", "signs"), "rest")
+    more = similar_sets(rest, stage, "more", similarity, elements).where("b is not null").select("a", "b")
     links = stage.keep(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "links")
     final = components(links, stage, "final")
 

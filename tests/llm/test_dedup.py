@@ -65,7 +65,7 @@ def test_classes_are_those_of_all_pairs(corpus, rows, spark):
 
 
 def test_group_of_edits_that_only_meet_in_the_middle(spark):
-    """Copies far from each other but near one text, more than a block of them."""
+    """Copies far from each other but near one text, more than a task compares at once."""
     random.seed(3)
     base = [f"w{i}" for i in range(300)]
     rows = [(0, " ".join(base))]
@@ -77,8 +77,8 @@ def test_group_of_edits_that_only_meet_in_the_middle(spark):
     rows.append((99, "something else entirely that shares no words with the others"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = classes(rows)
-    for block in (7, 1000):
-        got = {r.doc_id: r.class_id for r in dm.near_duplicates(df, Stage(spark), block=block).collect()}
+    for elements in (2000, 1 << 20):
+        got = {r.doc_id: r.class_id for r in dm.near_duplicates(df, Stage(spark), elements=elements).collect()}
         assert [got[i] for i, _ in rows] == [rows[k][0] for k in want]
 
 

@@ -6,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexicade.llm.setjoin import size_bounds
 from lexicade.llm.spotsigs import signatures
-from lexicade.llm.spotsigs_search import similar_documents, size_bounds
+from lexicade.llm.spotsigs_search import similar_documents
 
 
 def all_pairs(rows, least):
