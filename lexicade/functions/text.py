@@ -9,7 +9,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -41,9 +40,14 @@ def _col(c: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------- cleaning ---
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+NFKC_ROWS = 256  # texts that are Python strings at a time
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    parts = [pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in texts.slice(
+        lo, NFKC_ROWS).to_pylist()], pa.string()) for lo in range(0, len(texts), NFKC_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def maybe_not_nfkc(text: Column | str) -> Column:
