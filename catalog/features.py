@@ -136,7 +136,8 @@ def vocab_transform(spark, folder):
         lambda: vo.vocabulary(_counts(spark, src, store, "train"),
                               _train_size(spark, src, store)), "vocabulary", **src.key())
     held = _counts(spark, src, store).where("split <> 'train'")
-    return vo.apply_vocabulary(held, vocab).select("doc_id", "split", "term", "cnt")
+    docs = rp.source_documents(spark, src, store).where("split <> 'train'")
+    return vo.apply_vocabulary(held, vocab, rows=vo.terms_at_most(docs, "tokens", src.n_range)).select("doc_id", "split", "term", "cnt")
 
 
 @register("stop_units", s.with_(*s.token_docs(), s.term_counts()) + """

@@ -145,6 +145,12 @@ def _sums(n_range: tuple[int, int], label: str):
 SUMS = ("df", "df_pos", "df_neg", "c_pos", "c_neg")
 
 
+def grams_at_most(coded: DataFrame, n_range: tuple[int, int]) -> int:
+    """A number that the n-grams of all documents do not exceed."""
+    tokens = coded.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0))).first()[0]
+    return tokens * (n_range[1] - n_range[0] + 1)
+
+
 def gram_sums(coded: DataFrame, n_range: tuple[int, int], label: str = "label", task_rows: int = TASK_ROWS) -> DataFrame:
     """Rows (gram, df, df_pos, df_neg, c_pos, c_neg): documents and uses of every n-gram, in all and by label.
 
@@ -152,8 +158,7 @@ def gram_sums(coded: DataFrame, n_range: tuple[int, int], label: str = "label",
     groups at most about ``task_rows`` of them, however large the input's partitions are. Without a label
     a document counts for ``df`` and ``c_neg`` only.
     """
-    tokens = coded.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0))).first()[0]
-    parts = max(1, -(-tokens * (n_range[1] - n_range[0] + 1) // task_rows))
+    parts = max(1, -(-grams_at_most(coded, n_range) // task_rows))
     schema = "gram long, " + ", ".join(f"{c} long" for c in SUMS)
     some = coded.select(label, "ids").mapInArrow(_sums(n_range, label), schema)
     return some.repartition(parts, "gram").groupBy("gram").agg(*[F.sum(c).alias(c) for c in SUMS])

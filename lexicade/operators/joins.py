@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ def join_per_key(
     spread_by: str,
     weight: str,
     broadcast_rows: int = BROADCAST_ROWS,
+    left_rows: Callable[[], int] | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Inner join on ``key``; ``right`` holds each key once.
 
@@ -28,9 +32,14 @@ def join_per_key(
     more than ``broadcast_rows``, both sides are shuffled and the ``HOT_KEYS``
     keys with the largest ``weight`` (their number of left rows) are salted by a
     hash of ``spread_by``, so that no key has to fit in one task.
+
+    The shuffled sides are dealt into so many partitions that a task sorts about ``task_rows``
+    rows of ``left``, however many there are: they are counted, as in a stored table, unless
+    ``left_rows`` gives a number that they do not exceed.
     """
     if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return left.join(F.broadcast(right), key)
+    n = max(1, -(-(left.count() if left_rows is None else left_rows()) // task_rows))
     hot = (
         right.orderBy(F.desc(weight), key)
         .limit(HOT_KEYS)
@@ -50,7 +59,8 @@ def join_per_key(
         .withColumn("_salt", F.explode(slots))
         .drop("_hot")
     )
-    return salted_left.join(salted_right, [key, "_salt"]).drop("_salt")
+    sides = [side.repartition(n, key, "_salt") for side in (salted_left, salted_right)]
+    return sides[0].join(sides[1], [key, "_salt"]).drop("_salt")
 
 
 def attach_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner",

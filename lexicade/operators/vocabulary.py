@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +38,12 @@ def term_counts(
     return grams.groupBy(*keep, "term").agg(F.count("*").alias("cnt"))
 
 
+def terms_at_most(docs: DataFrame, tokens: Column | str = "tokens", n_range: tuple[int, int] = (1, 3)) -> Callable[[], int]:
+    """Counts, when called, a number that the rows of ``term_counts`` do not exceed: tokens are not counted by term for it."""
+    size = F.size(units(tokens)).cast("long")
+    return lambda: docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] * (n_range[1] - n_range[0] + 1)
+
+
 def _terms(docs: DataFrame, tokens: Column | str, n_range: tuple[int, int],
            keep: Sequence[str]) -> DataFrame:
     listed = docs.select(*keep, units(tokens).alias("_t"))
@@ -103,8 +109,8 @@ def known_term_counts(
     """
     if vocab.limit(broadcast_rows + 1).count() > broadcast_rows:
         counts = term_counts(docs, tokens, n_range, keep)
-        return apply_vocabulary(counts, vocab.select("term", "df"), keep[0]).select(
-            *keep, "term", "df", "cnt")
+        at_most = terms_at_most(docs, tokens, n_range)
+        return apply_vocabulary(counts, vocab.select("term", "df"), keep[0], at_most).select(*keep, "term", "df", "cnt")
     known = F.broadcast(vocab.select("term", "df"))
     found = _terms(docs, tokens, n_range, keep).join(known, "term")
     return found.groupBy(*keep, "term", "df").agg(F.count("*").alias("cnt"))
@@ -133,12 +139,13 @@ def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
     return sorted_index(vocab, "term").select("term", "idx", "df")
 
 
-def apply_vocabulary(counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+def apply_vocabulary(counts: DataFrame, vocab: DataFrame, key: str = "doc_id", rows: Callable[[], int] | None = None) -> DataFrame:
     """Keep the counts of known terms and attach the columns of ``vocab``.
 
-    ``vocab`` is a stored table with a ``df`` column.
+    ``vocab`` is a stored table with a ``df`` column; ``rows`` gives what ``counts`` do not
+    exceed, for counts that are not stored (``terms_at_most``).
     """
-    return join_per_key(counts, vocab, "term", key, "df")
+    return join_per_key(counts, vocab, "term", key, "df", left_rows=rows)
 
 
 def frequent_uses(docs: DataFrame, tokens: Column | str = "tokens", below: int = RARE_COUNT) -> DataFrame:

@@ -1,5 +1,6 @@
 """What a task holds is bounded: grouped n-grams, texts at a time, counts of a large vocabulary."""
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lexicade.functions import text as tx
 from lexicade.operators import coding as co
 from lexicade.operators import vocabulary as vo
-from lexicade.operators.joins import dealt
+from lexicade.operators.joins import dealt, join_per_key
 
 TEXTS = ["a b a b", "a b c", "", "c c c a b a b a", None, "z a"]
 
@@ -74,3 +75,15 @@ def test_texts_are_normalised_some_at_a_time(spark):
 
 def test_dealt_rows_are_bounded(spark):
     assert dealt(spark.range(100), "id", task_rows=7).rdd.getNumPartitions() == 15
+
+
+def test_shuffled_joins_have_as_many_tasks_as_rows_ask_for(spark):
+    left = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 70, 0).otherwise(F.col("id")).alias("term"))
+    right = left.groupBy("term").agg(F.count("*").alias("df")).where("term <> 80")
+    got = join_per_key(left, right, "term", "doc_id", "df", broadcast_rows=0, task_rows=7)
+    told = join_per_key(left, right, "term", "doc_id", "df", broadcast_rows=0, left_rows=lambda: 30, task_rows=7)
+    for joined, n in ((got, 15), (told, 5)):
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert re.findall(r"RepartitionByExpression \[term#\d+L?, _salt#\d+\], (\d+)", plan) == [str(n)] * 2
+    want = left.join(right, "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
