@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from catalog import sql as s
@@ -212,15 +214,14 @@ def concept_kmeans(spark, folder):
         "term", co.augment("embedding", "score", w).alias("vector"))
     # the raw centres are the means of their members
     parts = points.join(mapped, "term")
-    means = parts.select("concept_id", F.posexplode("vector").alias("pos", "x")).groupBy(
-        "concept_id", "pos").agg(F.avg("x").alias("m"))
-    centres = means.groupBy("concept_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"]).alias("centroid"))
-    near = co.nearest_centroid(points, centres, "vector").select("term", "dist")
-    own = parts.join(centres, "concept_id").select(
-        "term", "df", "concept_id", F.aggregate(F.zip_with(
+    mean = Summarizer.mean(array_to_vector("vector"))
+    centres = store.table(lambda: parts.groupBy("concept_id").agg(
+        vector_to_array(mean).alias("centroid")), "concept_means", k=k, w=w, **src.key())
+    near = co.nearest_centroid(parts, centres.withColumnRenamed("concept_id", "near_id"), "vector", "near_id")
+    own = co.attach_small(near, centres, "concept_id").select(
+        "term", "df", "concept_id", "dist", F.aggregate(F.zip_with(
             "vector", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("own"))
     # k-means stops after its rounds, so a unit may lie a little closer to another mean
-    return own.join(near, "term").select(
+    return own.select(
         "term", "df", (F.col("own") <= F.col("dist") + MOVE).alias("nearest"),
         F.col("concept_id").between(0, k - 1).alias("in_range"))

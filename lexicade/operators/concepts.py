@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -16,12 +20,17 @@ from pyspark.sql import types as T
 from lexicade.functions import lexicons as lx
 from lexicade.functions import stats
 from lexicade.functions.text import display_label
+from lexicade.operators.coding import ROWS_AT_A_TIME, dictionary
 from lexicade.operators.joins import attach_small, join_per_key
 from lexicade.operators.ranking import top_per_group
+from lexicade.operators.vocabulary import units as token_units
 
 ITERATIONS = 20
 SIZE = 64
 SEED = 42
+# words that a task adds up before it hands their sums on, tokens whose windows are made at a time
+HELD_WORDS = 1 << 17
+TOKENS_AT_A_TIME = 1 << 15
 # centroids are handed to the executors in blocks of at most this many numbers
 BLOCK_NUMBERS = 4_000_000
 
@@ -66,7 +75,8 @@ def vector_length(v: Column) -> Column:
 def unit_length(v: Column) -> Column:
     """The vector divided by its length, in double precision."""
     d = v.cast("array<double>")
-    return F.transform(d, lambda x: F.try_divide(x, vector_length(d)))
+    # a function of each number would make the length anew for every one
+    return F.zip_with(d, F.array_repeat(vector_length(d), F.size(d)), F.try_divide)
 
 
 def _signs(word: Column, size: int) -> list[Column]:
@@ -76,23 +86,86 @@ def _signs(word: Column, size: int) -> list[Column]:
     return [F.shiftright(parts[d // 32], d % 32).bitwiseAND(F.lit(1)) * 2 - 1 for d in range(size)]
 
 
+def _sign_rows(words: Sequence[str], size: int) -> np.ndarray:
+    """``_signs`` of many words, a row each."""
+    digests = b"".join(hashlib.md5(w.encode()).digest() for w in words)
+    numbers = np.frombuffer(digests, dtype=">u4").reshape(len(words), 4).astype(np.int64)
+    at = np.arange(size)
+    return ((numbers[:, at // 32] >> (at % 32) & 1) * 2 - 1).astype(np.int32)
+
+
+def _window_sums(signs: np.ndarray, ids: np.ndarray, doc: np.ndarray, window: int, lo: int, hi: int) -> np.ndarray:
+    """For the tokens lo to hi: the summed signs of all tokens of the same document at most ``window`` away."""
+    a, b = max(0, lo - window), min(len(ids), hi + window)
+    sums = np.zeros((b - a + 1, signs.shape[1]), dtype=np.int32)
+    np.cumsum(signs[ids[a:b]], axis=0, out=sums[1:])
+    at, here = np.arange(lo, hi), doc[lo:hi]
+    first = np.maximum(np.searchsorted(doc, here), at - window)
+    last = np.minimum(np.searchsorted(doc, here, side="right"), at + window + 1)
+    return sums[last - a] - sums[first - a]
+
+
+def _neighbour_sums(known: Broadcast | None, size: int, window: int):
+    """Rows (word, sums) of some documents' known words: a task adds up HELD_WORDS words before it hands them on."""
+    def rows(held: dict[str, int], sums: np.ndarray) -> pa.RecordBatch:
+        flat = pa.array(sums[:len(held)].reshape(-1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.string()), *[flat[d::size] for d in range(size)]],
+            names=["word", *[f"v{d}" for d in range(size)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        sums = np.zeros((HELD_WORDS, size), dtype=np.int64)
+        for batch in (b.slice(lo, ROWS_AT_A_TIME) for b in batches for lo in range(0, b.num_rows, ROWS_AT_A_TIME)):
+            lists = batch.column(0)
+            lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            coded = lists.flatten().cast(pa.string()).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            # a null is no word: it has no signs and no row
+            ids = pc.fill_null(coded.indices, len(words)).to_numpy(zero_copy_only=False)
+            signs = np.concatenate([_sign_rows(words, size), np.zeros((1, size), dtype=np.int32)])
+            wanted = np.ones(len(words) + 1, dtype=bool)
+            if known is not None:
+                wanted[:-1] = pc.is_in(coded.dictionary, value_set=known.value).to_numpy(zero_copy_only=False)
+            wanted[-1] = False
+            for lo in range(0, len(ids), TOKENS_AT_A_TIME):
+                hi = min(len(ids), lo + TOKENS_AT_A_TIME)
+                near = _window_sums(signs, ids, doc, window, lo, hi)
+                mine = np.flatnonzero(wanted[ids[lo:hi]])
+                mine = mine[np.argsort(ids[lo:hi][mine], kind="stable")]
+                word = ids[lo:hi][mine]
+                if not len(word):
+                    continue
+                at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                if len(held) + len(at) > HELD_WORDS:
+                    yield rows(held, sums)
+                    held, sums = {}, np.zeros((HELD_WORDS, size), dtype=np.int64)
+                places = [held.setdefault(words[w], len(held)) for w in word[at]]
+                sums[places] += np.add.reduceat(near[mine], at, axis=0)
+        if held:
+            yield rows(held, sums)
+    return run
+
+
 def word_vectors(
     docs: DataFrame, words: DataFrame, tokens: str = "tokens", size: int = SIZE, window: int = 5,
 ) -> DataFrame:
     """Rows (word, vector): the summed signs of all words around the word's occurrences.
 
     The occurrence itself is in its window. A word whose sum is zero, or that ``docs``
-    lack, has its own signs. Counts of (word, neighbour) pairs are combined before the
-    shuffle; the sums are whole numbers, the same on any cluster. ``size`` is at most 128.
+    lack, has its own signs. A task adds up the windows of its own documents, so that a row
+    per word and task is shuffled, not one per pair of words; the sums are whole numbers, the
+    same on any cluster. ``size`` is at most 128.
     """
-    t = F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(F.col(tokens))
-    near = F.flatten(F.transform("_t", lambda w, i: F.transform(
-        F.slice("_t", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)) + window + 1),
-        lambda x: F.struct(w.alias("word"), x.alias("near")))))
-    pairs = docs.select(t.alias("_t")).select(F.explode(near).alias("p")).select("p.*")
-    counts = attach_small(pairs, words, "word").groupBy("word", "near").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("word").agg(*[
-        F.sum(F.col("n") * s).alias(f"v{d}") for d, s in enumerate(_signs(F.col("near"), size))])
+    some = words.where("word is not null")
+    known = dictionary(some)
+    fields = ", ".join(f"v{d} long" for d in range(size))
+    parts = docs.select(token_units(tokens).alias("_t")).mapInArrow(
+        _neighbour_sums(known, size, window), f"word string, {fields}")
+    if known is None:
+        parts = parts.join(some.select("word").distinct(), "word", "left_semi")
+    sums = parts.groupBy("word").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(size)])
     summed = sums.select("word", F.array(*[f"v{d}" for d in range(size)]).alias("_v"))
     own = F.array(*_signs(F.col("word"), size))
     usable = F.exists("_v", lambda x: x != 0)

@@ -1,13 +1,17 @@
 """What a task holds is bounded: grouped n-grams, texts at a time, counts of a large vocabulary."""
 
+import hashlib
+import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexicade.functions import text as tx
 from lexicade.operators import coding as co
+from lexicade.operators import concepts as cn
 from lexicade.operators import vocabulary as vo
 from lexicade.operators.joins import dealt, join_per_key
 
@@ -87,3 +91,47 @@ def test_shuffled_joins_have_as_many_tasks_as_rows_ask_for(spark):
         assert re.findall(r"RepartitionByExpression \[term#\d+L?, _salt#\d+\], (\d+)", plan) == [str(n)] * 2
     want = left.join(right, "term")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def neighbour_signs(texts, words, window, size):
+    """The old way: every pair of a word and a neighbour."""
+    out = {}
+    for t in texts:
+        t = [""] if t == [] else t or []
+        for i, w in enumerate(t):
+            for x in t[max(0, i - window): i + window + 1]:
+                if w in words and x is not None:
+                    digest = int(hashlib.md5(x.encode()).hexdigest(), 16)
+                    at = [digest >> (96 - 32 * (d // 32)) >> (d % 32) & 1 for d in range(size)]
+                    out[w] = out.get(w, 0) + 2 * np.array(at) - 1
+    return out
+
+
+def test_word_vectors_are_summed_within_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [rng.choices(["a", "b", "ć", "dd", "", None], k=rng.randint(0, 30)) for _ in range(60)] + [None, [], ["z"]]
+    docs = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    names = ["a", "b", "ć", "", "unseen", "dd"]
+    words = spark.createDataFrame([(w,) for w in names], "word string")
+    for size, window in ((64, 5), (100, 2)):
+        want = neighbour_signs(texts, names, window, size)
+        own = neighbour_signs([[w] for w in names], names, 0, size)
+        for held, at_a_time, dictionary in ((1 << 17, 1 << 15, cn.dictionary), (5, 7, cn.dictionary), (9, 40, lambda _: None)):
+            monkeypatch.setattr(cn, "HELD_WORDS", held)
+            monkeypatch.setattr(cn, "TOKENS_AT_A_TIME", at_a_time)
+            monkeypatch.setattr(cn, "dictionary", dictionary)
+            got = cn.word_vectors(docs, words, size=size, window=window)
+            assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row per pair of words
+            vectors = {r.word: r.vector for r in got.collect()}
+            assert len(vectors) == got.count() == len(names)
+            for w in names:
+                usable = w in want and want[w].any()
+                assert vectors[w] == list(map(float, want[w] if usable else own[w]))
+
+
+def test_a_vectors_length_is_made_once(spark):
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([1.0, None],)]
+    got = spark.createDataFrame(rows, "v array<double>").select(cn.unit_length(F.col("v")).alias("u"))
+    assert [r.u for r in got.collect()] == [[0.6, 0.8], [None, None], [], None, [None, None]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("aggregate(") == 1
