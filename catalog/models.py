@@ -155,9 +155,10 @@ preds AS (SELECT 'zscore' AS model, split, doc_id, label::INT AS true_label,
 
 def _by_z(spark, folder):
     src, store = rp.Source(folder), Store(spark)
-    kept = store.table(lambda: keep_features(rp.unit_features(spark, src, store), 2.0), "kept", **src.key())
+    units = rp.unit_features(spark, src, store)
+    kept = store.table(lambda: keep_features(units, 2.0), "kept", **src.key())
     docs = rp.assignments(spark, src, store)
-    return score_documents(docs, rp.unit_matrix(spark, src, store), kept, "zscore")
+    return score_documents(docs, rp.unit_matrix(spark, src, store), kept, "zscore", units)
 
 
 @register("score_by_z", s.with_(*s.z_features(), _BY_Z) + "SELECT model, split, doc_id, true_label, probability FROM preds")

@@ -25,6 +25,7 @@ def join_per_key(
     broadcast_rows: int = BROADCAST_ROWS,
     left_rows: Callable[[], int] | None = None,
     task_rows: int = TASK_ROWS,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join on ``key``; ``right`` holds each key once.
 
@@ -36,12 +37,23 @@ def join_per_key(
     The shuffled sides are dealt into so many partitions that a task sorts about ``task_rows``
     rows of ``left``, however many there are: they are counted, as in a stored table, unless
     ``left_rows`` gives a number that they do not exceed.
+
+    Where ``left`` has keys that ``right`` lacks and these may be frequent, ``keys``, a stored table of
+    (key, weight) that holds them too, each once, tells the heaviest keys instead of ``right``.
     """
     if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return left.join(F.broadcast(right), key)
     n = max(1, -(-(left.count() if left_rows is None else left_rows()) // task_rows))
+    sides = salted_sides(left, right, key, spread_by, weight, n, right if keys is None else keys)
+    return sides[0].join(sides[1], [key, "_salt"]).drop("_salt")
+
+
+def salted_sides(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, weight: str, n: int, keys: DataFrame,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides by (key, _salt) in ``n`` partitions, the heaviest of ``keys`` spread over ``SPREAD`` salts."""
     hot = (
-        right.orderBy(F.desc(weight), key)
+        keys.orderBy(F.desc(weight), key)
         .limit(HOT_KEYS)
         .select(key, F.lit(True).alias("_hot"))
     )
@@ -59,8 +71,7 @@ def join_per_key(
         .withColumn("_salt", F.explode(slots))
         .drop("_hot")
     )
-    sides = [side.repartition(n, key, "_salt") for side in (salted_left, salted_right)]
-    return sides[0].join(sides[1], [key, "_salt"]).drop("_salt")
+    return salted_left.repartition(n, key, "_salt"), salted_right.repartition(n, key, "_salt")
 
 
 def attach_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner",

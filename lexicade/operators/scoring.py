@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexicade.functions import stats
 from lexicade.functions.text import display_label, ngram_size
-from lexicade.operators.joins import join_per_key
+from lexicade.operators.joins import BROADCAST_ROWS, join_per_key
 from lexicade.operators.ranking import top_per_group
 from lexicade.operators.vocabulary import MAX_DF, MIN_DF, df_limits
 
@@ -180,13 +180,19 @@ def select_columns(counts: DataFrame, kept: DataFrame, key: str = "doc_id") -> D
     return join_per_key(counts, kept.select("term", "df"), "term", key, "df").drop("df")
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+def score_documents(
+    docs: DataFrame, counts: DataFrame, kept: DataFrame, name: str, units: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(model, split, doc_id, true_label, probability) by the mean z of a document's kept terms.
 
     ``kept`` is a stored (term, df, z), ``counts`` has doc_id, term and cnt; the probability is the
-    sigmoid of the mean, one half without a kept term, in six digits.
+    sigmoid of the mean, one half without a kept term, in six digits. ``units`` is a stored (term, df)
+    of all terms of ``counts``: with it, frequent terms that are not kept do not meet in one task either.
     """
-    cells = join_per_key(counts.select("doc_id", "term", "cnt"), kept.select("term", "df", "z"), "term", "doc_id", "df")
+    cells = join_per_key(
+        counts.select("doc_id", "term", "cnt"), kept.select("term", "df", "z"), "term", "doc_id", "df", broadcast_rows,
+        keys=None if units is None else units.select("term", "df"))
     means = cells.groupBy("doc_id").agg((F.sum(F.col("cnt") * F.col("z")) / F.sum("cnt")).alias("_m"))
     p = F.round(1.0 / (1.0 + F.exp(-F.coalesce("_m", F.lit(0.0)))), 6)
     return docs.join(means, "doc_id", "left").select(

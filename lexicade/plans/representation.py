@@ -277,7 +277,8 @@ def load_representation(
             return sorted_index(kept.select("term", "df"), "term")
 
         kept = store.table(chosen, "kept_units", **params)
-        cells = join_per_key(matrix.drop("df"), kept, "term", "doc_id", "df")
+        cells = join_per_key(matrix.drop("df"), kept, "term", "doc_id", "df",
+                             keys=unit_features(spark, src, store).select("term", "df"))
     else:
         counts, scored, _ = concept_matrix(spark, src, store, k, w, embed, seed, encoder, valences)
 

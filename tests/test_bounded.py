@@ -13,7 +13,8 @@ from lexicade.functions import text as tx
 from lexicade.operators import coding as co
 from lexicade.operators import concepts as cn
 from lexicade.operators import vocabulary as vo
-from lexicade.operators.joins import dealt, join_per_key
+from lexicade.operators.joins import dealt, join_per_key, salted_sides
+from lexicade.operators.scoring import keep_features, score_documents
 
 TEXTS = ["a b a b", "a b c", "", "c c c a b a b a", None, "z a"]
 
@@ -135,3 +136,35 @@ def test_a_vectors_length_is_made_once(spark):
     assert [r.u for r in got.collect()] == [[0.6, 0.8], [None, None], [], None, [None, None]]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and plan.count("aggregate(") == 1
+
+
+def test_frequent_keys_that_the_right_side_lacks_are_spread(spark):
+    left = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the").otherwise(F.col("id").cast("string")).alias("term"))
+    units = left.groupBy("term").agg(F.count("*").alias("df"))
+    right = units.where("term <> 'the'")
+
+    def largest(keys):
+        side = salted_sides(left, right, "term", "doc_id", "df", 16, keys)[0]
+        return side.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+    assert largest(right) >= 2000 and largest(units) < 1000
+    want = left.join(right, "term")
+    got = join_per_key(left, right, "term", "doc_id", "df", broadcast_rows=0, task_rows=250, keys=units)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+
+def test_documents_are_scored_alike_by_a_shuffled_join(spark, tmp_path):
+    # "the" is the most frequent term and not kept; a term and a count may be null, a row may come twice
+    rows = [(i, t, 1 + i % 3) for i in range(60) for t in ("the", f"w{i % 7}", f"v{i % 11}")] + [(3, None, 1), (4, "w4", None), (5, "w5", 2)]
+    units = spark.createDataFrame(
+        [("the", 60, 0.5)] + [(f"{c}{i}", 9, (i - 4) * 0.9) for c in "wv" for i in range(11)], "term string, df long, z double")
+    units.write.parquet(str(tmp_path / "units"))
+    units = spark.read.parquet(str(tmp_path / "units"))
+    keep_features(units, 2.0).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    counts = spark.createDataFrame(rows, "doc_id long, term string, cnt long")
+    docs = spark.range(62).select(F.col("id").alias("doc_id"), F.lit("val").alias("split"), (F.col("id") % 2).alias("label"))
+    plain = score_documents(docs, counts, kept, "zscore")
+    shuffled = score_documents(docs, counts, kept, "zscore", units, broadcast_rows=0)
+    assert plain.schema == shuffled.schema and plain.where("probability <> 0.5").count() > 20
+    assert sorted(map(str, plain.collect())) == sorted(map(str, shuffled.collect()))
