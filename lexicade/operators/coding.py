@@ -151,6 +151,16 @@ def grams_at_most(coded: DataFrame, n_range: tuple[int, int]) -> int:
     return tokens * (n_range[1] - n_range[0] + 1)
 
 
+def dealt_documents(coded: DataFrame, n_range: tuple[int, int], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The documents in so many partitions that a task makes at most about ``task_rows`` n-grams of its own.
+
+    A task that sends its n-grams to more than 200 partitions holds them all to sort them, so they
+    must not be as many as a part of the stored table happens to give.
+    """
+    parts = max(-(-grams_at_most(coded, n_range) // task_rows), coded.sparkSession.sparkContext.defaultParallelism)
+    return coded.repartition(parts, *coded.columns)
+
+
 def gram_sums(coded: DataFrame, n_range: tuple[int, int], label: str = "label", task_rows: int = TASK_ROWS) -> DataFrame:
     """Rows (gram, df, df_pos, df_neg, c_pos, c_neg): documents and uses of every n-gram, in all and by label.
 
@@ -160,7 +170,7 @@ def gram_sums(coded: DataFrame, n_range: tuple[int, int], label: str = "label",
     """
     parts = max(1, -(-grams_at_most(coded, n_range) // task_rows))
     schema = "gram long, " + ", ".join(f"{c} long" for c in SUMS)
-    some = coded.select(label, "ids").mapInArrow(_sums(n_range, label), schema)
+    some = dealt_documents(coded, n_range, task_rows).select(label, "ids").mapInArrow(_sums(n_range, label), schema)
     return some.repartition(parts, "gram").groupBy("gram").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 

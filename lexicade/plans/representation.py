@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lexicade.functions import text as tx
 from lexicade.operators import concepts as oc
-from lexicade.operators.coding import code, dictionary, gram_counts, gram_sums, grams_at_most, known_gram_counts, spell
+from lexicade.operators.coding import (
+    code, dealt_documents, dictionary, gram_counts, gram_sums, grams_at_most, known_gram_counts, spell,
+)
 from lexicade.operators.joins import join_per_key
 from lexicade.operators.models import feature_vectors
 from lexicade.operators.ranking import sorted_index
@@ -151,7 +153,7 @@ def unit_matrix(spark: SparkSession, src: Source, store: Store) -> DataFrame:
         counts = known_gram_counts(docs, vocab, words, src.n_range, keep)
         if counts is not None:
             return counts
-        every = gram_counts(docs, src.n_range, keep)
+        every = gram_counts(dealt_documents(docs, src.n_range), src.n_range, keep)
         return join_per_key(every, vocab.select("gram", "term", "df"), "gram", "doc_id", "df",
                             left_rows=lambda: grams_at_most(docs, src.n_range)).select(*keep, "term", "df", "cnt")
 

@@ -168,3 +168,18 @@ def test_documents_are_scored_alike_by_a_shuffled_join(spark, tmp_path):
     shuffled = score_documents(docs, counts, kept, "zscore", units, broadcast_rows=0)
     assert plain.schema == shuffled.schema and plain.where("probability <> 0.5").count() > 20
     assert sorted(map(str, plain.collect())) == sorted(map(str, shuffled.collect()))
+
+
+def test_counting_tasks_make_a_bounded_number_of_grams(spark):
+    # 300 documents of 30 tokens in one partition: 26,100 n-grams
+    rows = [(i, i % 2, "train", [f"w{(i * j) % 7}" for j in range(30)]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, label int, split string, tokens array<string>").coalesce(1)
+    words = co.dictionary(spark.createDataFrame([(f"w{i}",) for i in range(7)], "word string"))
+    plain = co.code(docs, words, ("doc_id", "label", "split"))
+    some = co.dealt_documents(plain, (1, 3), task_rows=500).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in some) == 300 and max(r.n for r in some) * 87 < 26_100 / 10
+    sums = co.gram_sums(plain, (1, 3), task_rows=500)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression .*\], (\d+)", plan) == ["54", "54"]
+    want = co.gram_sums(plain, (1, 3))
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, want.collect())) and want.count() > 7
