@@ -53,7 +53,9 @@ def _polarity_sql() -> str:
 @register("lexicon_polarity", _polarity_sql())
 def lexicon_polarity(spark, folder):
     tokens = lower_tokens(tokenize("text"))
-    units = vo.term_counts(load_documents(spark, folder), tokens).select("term").distinct()
+    # texts move by document, so that their n-grams are counted where they are made
+    docs = load_documents(spark, folder).repartition("doc_id")
+    units = vo.term_counts(docs, tokens).select("term").distinct()
     return rounded(co.polarity(units, co.valence_table(spark)), "score")
 
 

@@ -33,6 +33,8 @@ HELD_WORDS = 1 << 17
 TOKENS_AT_A_TIME = 1 << 15
 # centroids are handed to the executors in blocks of at most this many numbers
 BLOCK_NUMBERS = 4_000_000
+# a lexicon of at most so many rows is looked up within a unit's row
+LISTED = 1000
 
 
 # ----------------------------------------------------------------- polarity ---
@@ -48,9 +50,12 @@ def polarity(
 
     Valences of the unit's tokens are summed; a negator among the three tokens
     before one turns its valence around. ``valences`` is a lexicon, one row per
-    token.
+    token. A short one goes into the plan: units are neither taken apart nor shuffled.
     """
     words = F.split(F.lower(F.col(unit)), " ")
+    listed = valences.select("token", F.col("valence").cast("double").alias("valence")).limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        return units.withColumn("score", _score_in_row(words, listed, negators))
     rows = units.select(unit, words.alias("_w")).select(
         unit, "_w", F.posexplode("_w").alias("_i", "token"))
     before = F.slice("_w", F.greatest(F.col("_i") - lx.NEGATION_REACH, F.lit(0)) + 1,
@@ -67,6 +72,27 @@ def polarity(
     ).drop("_s")
 
 
+def _score_in_row(words: Column, listed: Sequence, negators: Sequence[str]) -> Column:
+    """``polarity`` of an array of words, for the rows of a short lexicon."""
+    valence: dict[str, float] = {}
+    for token, value in listed:
+        if token is not None and value is not None:
+            valence[token] = valence.get(token, 0.0) + value
+    if not valence:
+        return F.lit(0.0)
+    lookup = F.create_map(*[F.lit(x) for pair in valence.items() for x in pair])
+
+    def weighed(word: Column, i: Column) -> Column:
+        before = F.slice(words, F.greatest(i - lx.NEGATION_REACH, F.lit(0)) + 1, F.least(i, F.lit(lx.NEGATION_REACH)))
+        sign = F.when(F.exists(before, lambda t: t.isin(*negators)), lx.NEGATION_FACTOR).otherwise(1.0)
+        return F.when(word.isin(*valence), F.try_element_at(lookup, word) * sign).otherwise(0.0)
+
+    total = F.aggregate(F.transform(words, weighed), F.lit(0.0), lambda a, x: a + x)
+    # most units have no listed word
+    found = F.exists(words, lambda t: t.isin(*valence))
+    return F.when(found, F.coalesce(stats.signed_unit(total, lx.POLARITY_ALPHA), F.lit(0.0))).otherwise(0.0)
+
+
 # --------------------------------------------------------------- embeddings ---
 def vector_length(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
